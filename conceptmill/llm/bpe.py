@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from .common import string_chunks, without
 
-#: Slices kept in a worker's cache before it starts afresh.
-CACHE_SLICES = 400_000
+#: Slices kept in a worker's cache before it starts afresh, and bytes of text worked on at once.
+CACHE_SLICES = 150_000
+STEP_BYTES = 1 << 20
 #: Longer slices are merged with a heap, one at a time.
 LONG_SLICE = 400
 #: Largest vocabulary file that is sent to the executors.
@@ -233,7 +234,7 @@ class ByteBPE:
                     keys.append(left << 32 | right)
                     values.append(rank)
         self.pairs = PairTable(np.array(keys, np.int64), np.array(values, np.int32))
-        self.merge = dict(zip(keys, values, strict=True))
+        self._merge: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -243,10 +244,11 @@ class ByteBPE:
 
     def _heap_merge(self, piece: bytes) -> list[int]:
         """One long slice: lowest rank first, leftmost among equals, in n log n."""
+        merge = self._merge = self._merge or dict(zip(self.pairs.keys.tolist(), self.pairs.values.tolist(), strict=True))
         token = [int(self.of_byte[b]) for b in piece]
         n = len(token)
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self.merge.get(token[i] << 32 | token[i + 1])) is not None]
+        queue = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := merge.get(token[i] << 32 | token[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
             rank, i, left, right = heapq.heappop(queue)
@@ -257,7 +259,7 @@ class ByteBPE:
             if after[j] < n:
                 prior[after[j]] = i
             for a, b in ((prior[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.merge.get(token[a] << 32 | token[b])) is not None:
+                if a >= 0 and b < n and (r := merge.get(token[a] << 32 | token[b])) is not None:
                     heapq.heappush(queue, (r, a, token[a], token[b]))
         return [t for t in token if t >= 0]
 
@@ -380,30 +382,35 @@ def _vocabulary(df: DataFrame, path: str):
     return hashlib.sha256(ranks).hexdigest(), df.sparkSession.sparkContext.broadcast(ranks)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_decoded: bool = False) -> DataFrame:
     """Add token_ids (array<int>) and token_ends (array<int>, byte end of each token in its text).
 
+    ``with_decoded`` also adds decoded (binary), the ids decoded in the same pass.
+
     ``path`` is a rank file on the driver; its bytes, at most MAX_VOCABULARY_BYTES, are broadcast.
     ``keep`` limits the columns carried along (default: all). Null and empty texts get empty
     arrays; repeated rows stay repeated; input columns named like the two outputs are replaced.
     Map-only: no shuffle, memory bound by one chunk of text and the slice cache.
     """
     digest, ranks = _vocabulary(df, path)
-    source = without(df, "token_ids", "token_ends")
+    source = without(df, "token_ids", "token_ends", *["decoded"] * with_decoded)
     kept = [c for c in source.columns if keep is None or c in keep]
     source = source.select([F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
     fields = [source.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("token_ends", T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("token_ends", T.ArrayType(T.IntegerType(), False))]
+    schema = T.StructType([*fields, *added, *[T.StructField("decoded", T.BinaryType())] * with_decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(digest, ranks.value)
         for batch in batches:
-            for part, data, offsets in string_chunks(batch, text):
+            for part, data, offsets in string_chunks(batch, text, STEP_BYTES):
                 ids, ends, bounds = bpe.encode(data, offsets)
                 at = pa.array(bounds.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, ends)]
                 columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, *lists], names=[*kept, "token_ids", "token_ends"])
+                if with_decoded:
+                    lists.append(pa.array([bpe.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

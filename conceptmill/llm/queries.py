@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, sharding, simhash
+from . import bpe, decontam, langid, license, quality, secrets, sharding, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,41 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)],
+        F.sha2(secrets.rendered(base), 256).alias("base_sha256"),
+        secrets.rendered(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    starts = F.transform("base_places", lambda p: p["start"])
+    base = F.transform("base_places", lambda p: p["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))).alias("score"),
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
@@ -66,9 +101,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op8_license": op8_license,
     "op10_decontamination": op10_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
 }
