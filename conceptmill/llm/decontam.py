@@ -61,10 +61,20 @@ class Words:
         power, inverse = _powers(len(data) + 1)
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=run[1:])
-        h = (run[self.stop] - run[self.start]) * inverse[self.start]
+        self._run, self._inverse = run, inverse
+        self.hash = self._hashed(self.stop)
+
+    def _hashed(self, stop: np.ndarray) -> np.ndarray:
+        h = (self._run[stop] - self._run[self.start]) * self._inverse[self.start]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        self.hash = h ^ (h >> np.uint64(32))
+        return h ^ (h >> np.uint64(32))
+
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """A hash of each word's first bytes, unlike the words' own hashes; 0 for shorter words."""
+        stop = self.start + size
+        fits = stop <= self.stop
+        return np.where(fits, self._hashed(np.minimum(stop, self.stop)) * np.uint64(2 * size + 1) + np.uint64(size), np.uint64(0))
 
     def text(self, first: int, count: int) -> bytes:
         raw = self.bytes

@@ -9,8 +9,7 @@ complete at a start; the share of the template's other words found there is the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import partial
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +45,6 @@ _ID = {w: k for k, w in enumerate(VOCABULARY)}
 _SHIFT = 1 << 32
 
 
-@dataclass(frozen=True)
-class Plan:
-    """A template with its words' identifiers, those of the key phrase rarest first."""
-
-    label: str
-    words: tuple[tuple[int, int], ...]
-    key: tuple[tuple[int, int], ...]
-
-
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words (long) and hits (array of word id * 2**32 + position for the vocabulary's words)."""
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0))
@@ -77,30 +67,38 @@ def document_frequencies(posted: DataFrame) -> dict[str, int]:
     return {VOCABULARY[r["w"]]: r["n"] for r in rows}
 
 
-def plans(frequencies: dict[str, int]) -> list[Plan]:
+_PLAN = "array<struct<label:string,key:array<struct<word:bigint,place:bigint>>,words:array<struct<word:bigint,place:bigint>>>>"
+
+
+def _word_list(words: list[tuple[str, int]]) -> list[dict]:
+    return [{"word": _ID[w], "place": i} for w, i in words]
+
+
+def plans(frequencies: dict[str, int]) -> Column:
+    """The templates as one constant: each key phrase's words rarest first, and all words."""
     made = []
     for label, wording, key in TEMPLATES:
         words, phrase = wording.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
         rare = sorted(range(at, at + len(phrase)), key=lambda i: (frequencies.get(words[i], 0), i))
-        made.append(Plan(label, tuple((_ID[w], i) for i, w in enumerate(words)), tuple((_ID[words[i]], i) for i in rare)))
-    return made
+        made.append({"label": label, "key": _word_list([(words[i], i) for i in rare]), "words": _word_list([(w, i) for i, w in enumerate(words)])})
+    return F.from_json(F.lit(json.dumps(made)), _PLAN)
 
 
-def _starts(hits: Column, word: int, offset: int) -> Column:
-    return F.transform(F.filter(hits, lambda h: F.shiftright(h, 32) == word), lambda h: h - (word * _SHIFT + offset))
+def base_plans() -> Column:
+    return F.from_json(F.lit(json.dumps([{"label": label, "key": _word_list([(w, i) for i, w in enumerate(phrase.split())])} for phrase, label in BASE.items()])), _PLAN)
 
 
-def _places(hits: Column, words: tuple[tuple[int, int], ...]) -> Column:
-    """Starts at which all the words stand, intersected in the given order."""
-    found = _starts(hits, *words[0])
-    for word in words[1:]:
-        found = F.array_intersect(found, _starts(hits, *word))
-    return found
+def _starts(hits: Column, word: Column) -> Column:
+    """Where a text would start that has the word in its place."""
+    return F.transform(F.filter(hits, lambda h: F.shiftright(h, 32) == word["word"]), lambda h: h - (word["word"] * _SHIFT + word["place"]))
 
 
-def _labelled(label: Column, start: Column) -> Column:
-    return F.struct(start.alias("start"), label.alias("label"))
+def _places(hits: Column, words: Column) -> Column:
+    """Starts at which all the words stand, intersected in the given order."""
+    rest = F.slice(words, F.lit(2), F.size(words))
+    narrow = lambda found, word: F.when(F.size(found) == 0, found).otherwise(F.array_intersect(found, _starts(hits, word)))
+    return F.aggregate(rest, _starts(hits, words[0]), narrow)
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -117,22 +115,19 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     wanted = plans(document_frequencies(posted))
 
     def base(h: Column) -> Column:
-        parts = []
-        for phrase, label in BASE.items():
-            words = tuple((_ID[w], i) for i, w in enumerate(phrase.split()))
-            parts.append(F.transform(_places(h, words), partial(_labelled, F.lit(label))))
-        return F.array_sort(F.concat(*parts))
+        named = F.transform(base_plans(), lambda t: F.transform(_places(h, t["key"]), lambda s: F.struct(s.alias("start"), t["label"].alias("label"))))
+        return F.array_sort(F.flatten(named))
 
-    def match(h: Column, plan: Plan) -> Column:
-        def scored(starts: Column) -> Column:
-            total = sum((F.size(F.array_intersect(_starts(h, *w), starts)) for w in plan.words), F.lit(0))
-            share = total / (len(plan.words) * F.size(starts))
-            return F.when(F.size(starts) > 0, F.struct(F.lit(plan.label).alias("label"), share.cast("double").alias("score")))
+    def matched(h: Column) -> Column:
+        def scored(t: Column, starts: Column) -> Column:
+            total = F.aggregate(t["words"], F.lit(0), lambda n, w: n + F.size(F.array_intersect(_starts(h, w), starts)))
+            share = total.cast("double") / (F.size(t["words"]) * F.size(starts))
+            return F.struct(t["label"].alias("label"), F.when(F.size(starts) > 0, share).otherwise(F.lit(0.0)).alias("score"))
 
-        return let(_places(h, plan.key), scored)
+        tried = F.transform(wanted, lambda t: let(_places(h, t["key"]), lambda starts: scored(t, starts)))
+        return F.filter(tried, lambda m: m["score"] >= MIN_COVERAGE)
 
     none = "array<struct<start:bigint,label:string>>", "array<struct<label:string,score:double>>"
-    matched = lambda h: F.filter(F.array(*[match(h, p) for p in wanted]), lambda m: m.isNotNull() & (m["score"] >= MIN_COVERAGE))
     some = F.size("hits") > 0
     return posted.select(
         *[F.col(f"`{c}`") for c in kept],

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, license, quality, secrets, sharding, simhash
+from . import bpe, decontam, langid, license, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    model = toxicity.train(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = langid.train(docs.filter(~F.col("held_out")))
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op8_license": op8_license,
