@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, license, quality, secrets, sharding, simhash, toxicity
+from . import bpe, decontam, langid, license, quality, secrets, sharding, simhash, suffix, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeats(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     starts = F.transform("base_places", lambda p: p["start"])
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op7_repeats": op7_repeats,
     "op8_license": op8_license,
     "op10_decontamination": op10_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
