@@ -1,14 +1,471 @@
-"""The named queries of the engine and the SQL that each must equal."""
+"""The named queries of the engine and the SQL that each must equal.
+
+Every query runs an operator over views of the star-schema tables; queries without SQL are
+iterative or sequential, and are held to brute force in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from conceptmill.functions import scalar as S
+from conceptmill.operators import communities as C
+from conceptmill.operators import graph as G
+from conceptmill.operators import ingest as I
+from conceptmill.operators import learner as L
+from conceptmill.operators import paths as P
+from conceptmill.operators import retrieval as R
+from conceptmill.operators import suggest as SG
+from conceptmill.operators import text as X
+from conceptmill.operators import vectors as V
+
+from . import derived as D
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+BAND_SQL = "CASE WHEN m <= 0 THEN 'untouched' WHEN m < 0.35 THEN 'weak' WHEN m < 0.65 THEN 'learning' WHEN m < 0.85 THEN 'solid' ELSE 'mastered' END"
+STATUS_SQL = "CASE WHEN m >= 0.85 THEN 'known' WHEN m >= 0.35 THEN 'learning' ELSE 'gap' END"
+KNOWN = "known AS (SELECT nodes.*, coalesce(mastery, 0) AS m FROM nodes LEFT JOIN one USING (id))"
+
+
+@query(D.with_views("nodes", "edges", "one") + f""", {KNOWN},
+    unmet AS (SELECT target AS id FROM prereq LEFT JOIN one ON source = id WHERE coalesce(mastery, 0) < 0.5),
+    unlocks AS (SELECT source AS id, count(*) AS unlocks FROM prereq GROUP BY 1)
+    SELECT id, name, domain, difficulty, m AS mastery, {STATUS_SQL} AS status, coalesce(unlocks, 0) AS unlocks, ord FROM known LEFT JOIN unlocks USING (id)
+    WHERE m < 0.85 AND id NOT IN (SELECT id FROM unmet) ORDER BY coalesce(unlocks, 0) DESC, difficulty, ord LIMIT 20""")
+def recommend_next(spark, d):
+    return P.recommend_next(D.graph(spark, d), D.one(spark, d), 20)
+
+
+@query(D.with_views("mastery") + "SELECT user_id, concept_id, mastery FROM mastery")
+def mastery_now(spark, d):
+    return D.mastery(spark, d)
+
+
+@query(D.with_views("mastery") + "SELECT user_id, concept_id, mastery FROM mastery")
+def mastery_from_arrays(spark, d):
+    item = F.struct(F.lit("quiz").alias("type"), F.lit("").alias("desc"), "weight", F.col("ts").cast("string").alias("ts"), "revoked", "seq")
+    states = D.log(spark, d).groupBy("user_id", "concept_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("e")))).alias("s")).select("user_id", "concept_id", F.lit(0.0).alias("mastery"), F.transform("s", lambda x: x["e"]).alias("evidence"), F.lit(None).cast("string").alias("last_touched"))
+    return L.mastery(states, D.AS_OF)
+
+
+@query(D.with_views("nodes", "one") + f""", {KNOWN}, b AS (SELECT {BAND_SQL} AS band, m FROM known),
+    dim AS (SELECT * FROM (VALUES ('untouched', '#B4B2A9', 0), ('weak', '#E24B4A', 1), ('learning', '#EF9F27', 2), ('solid', '#97C459', 3), ('mastered', '#1D9E75', 4)) t(band, color, place)),
+    c AS (SELECT band, count(*) AS n, round(avg(m), 4) AS avg_mastery FROM b GROUP BY 1)
+    SELECT band, color, place, coalesce(n, 0) AS n, avg_mastery FROM dim LEFT JOIN c USING (band)""")
+def band_profile(spark, d):
+    return L.band_profile(D.nodes(spark, d), D.one(spark, d))
+
+
+@query(D.with_views("nodes", "one") + f""", {KNOWN} SELECT domain, count(*) AS n, round(round(avg(CASE WHEN m > 0 THEN m END), 8), 3) AS avg_mastery,
+    count(*) FILTER (m <= 0) AS untouched, min(ord) AS first_ord FROM known GROUP BY 1""")
+def domain_overview(spark, d):
+    return L.domain_overview(D.nodes(spark, d), D.one(spark, d))
+
+
+@query(D.with_views("nodes", "one") + f""", {KNOWN}, b AS (SELECT *, {BAND_SQL} AS band FROM known), r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY name, id) AS rk FROM b)
+    SELECT band, max(cnt) AS n, string_agg(name, ', ' ORDER BY rk) AS names FROM (SELECT *, count(*) OVER (PARTITION BY band) AS cnt FROM r) WHERE rk <= 12 GROUP BY 1""")
+def text_summary(spark, d):
+    return L.text_summary(D.nodes(spark, d), D.one(spark, d))
+
+
+@query(D.with_views("log") + "SELECT user_id, concept_id, seq, weight, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, concept_id ORDER BY seq DESC) AS r FROM log WHERE NOT revoked) WHERE r = 1")
+def evidence_latest(spark, d):
+    return L.latest_standing(D.log(spark, d))
+
+
+@query(D.with_views("log") + f""", last AS (SELECT user_id, concept_id, max(seq) AS seq FROM log WHERE NOT revoked GROUP BY ALL)
+    SELECT user_id, concept_id, round(1 - product(CASE WHEN revoked OR log.seq = coalesce(last.seq, -1) THEN 1.0 ELSE 1 - greatest(0, least(1, weight)) * pow(0.5, greatest(date_diff('day', ts, DATE '{D.AS_OF}'), 0) / 60.0) END), 4) AS mastery
+    FROM log LEFT JOIN last USING (user_id, concept_id) GROUP BY ALL""")
+def revoke_effect(spark, d):
+    return L.mastery_from_log(L.revoke_latest(D.log(spark, d)), D.AS_OF)
+
+
+@query(D.with_views("nodes") + "SELECT ord, id, name FROM nodes WHERE contains(lower(id), 'widget 1') OR contains(lower(name), 'widget 1') OR contains(lower(alias), 'widget 1')")
+def find_nodes(spark, d):
+    return G.find(D.graph(spark, d), " Widget 1 ").select("ord", "id", "name")
+
+
+@query(D.with_views("nodes") + "SELECT ord, id, name FROM nodes WHERE contains(id, '12') OR contains(lower(name), '12') OR contains(lower(alias), '12') ORDER BY (id = '12') DESC, ord LIMIT 1")
+def resolve_keyword(spark, d):
+    return G.resolve(D.graph(spark, d), "12").select("ord", "id", "name")
+
+
+@query(D.with_views("edges") + "SELECT source, target, type, 0 AS dir FROM edges WHERE source = '6' UNION ALL SELECT source, target, type, 1 FROM edges WHERE target = '6'")
+def edges_of(spark, d):
+    return G.edges_of(D.graph(spark, d), "6").select("source", "target", "type", "dir")
+
+
+@query(D.with_views("prereq") + "SELECT source AS id, target AS dependent FROM prereq")
+def dependents(spark, d):
+    return G.dependents(D.graph(spark, d))
+
+
+@query(D.with_views("edges") + "SELECT source AS id, target AS other FROM edges WHERE type = 'confusable_with' UNION SELECT target, source FROM edges WHERE type = 'confusable_with'")
+def confusable_pairs(spark, d):
+    return G.confusable(D.graph(spark, d))
+
+
+@query(D.with_views("prereq") + "SELECT DISTINCT source AS id FROM prereq WHERE source NOT IN (SELECT target FROM prereq)")
+def roots(spark, d):
+    return G.roots(D.graph(spark, d))
+
+
+@query(D.with_views("prereq") + "SELECT DISTINCT target AS id FROM prereq WHERE target NOT IN (SELECT source FROM prereq)")
+def leaves(spark, d):
+    return G.leaves(D.graph(spark, d))
+
+
+@query(D.with_views("nodes", "edges") + "SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
+def isolated(spark, d):
+    return G.isolated(D.graph(spark, d))
+
+
+@query(D.with_views("nodes", "edges") + """SELECT 'node_type' AS kind, type AS value, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'domain', domain, count(*) FROM nodes GROUP BY ALL
+    UNION ALL SELECT 'edge_type', type, count(*) FROM edges GROUP BY ALL UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges
+    UNION ALL SELECT 'total', 'roots', count(DISTINCT source) FROM prereq WHERE source NOT IN (SELECT target FROM prereq)
+    UNION ALL SELECT 'total', 'isolated', count(*) FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)""")
+def graph_stats(spark, d):
+    return G.stats(D.graph(spark, d))
+
+
+@query(D.with_views("edges") + "SELECT source, target, string_agg(type, ',' ORDER BY type) AS types, count(*) AS n FROM edges GROUP BY 1, 2 HAVING count(*) > 1")
+def multi_relation_pairs(spark, d):
+    return G.multi_relation_pairs(D.graph(spark, d))
+
+
+@query(D.with_views("prereq") + """SELECT id, ancestor, min(hop) AS hop FROM (SELECT target AS id, source AS ancestor, 1 AS hop FROM prereq
+    UNION ALL SELECT a.target, b.source, 2 FROM prereq a JOIN prereq b ON a.source = b.target) GROUP BY 1, 2""")
+def khop_prereqs(spark, d):
+    return G.ancestors(D.graph(spark, d).prerequisites, depth=2)
+
+
+@query(D.with_views("up") + "SELECT id, ancestor, hop FROM closure")
+def ancestor_closure(spark, d):
+    return G.ancestors(D.graph(spark, d).prerequisites)
+
+
+TARGETS = "ord % 97 = 5"
+
+
+def _targets(spark, d):
+    return D.nodes(spark, d).filter(TARGETS).select("id")
+
+
+@query(D.with_views("nodes", "up") + f"SELECT id, ancestor, hop FROM closure WHERE id IN (SELECT id FROM nodes WHERE {TARGETS})")
+def target_depth(spark, d):
+    return G.ancestors(D.graph(spark, d).prerequisites, _targets(spark, d))
+
+
+@query(D.with_views("up") + "SELECT count(*) FILTER (id = ancestor) = 0 AS acyclic, count(*) FILTER (id = ancestor) AS core_edges FROM closure")
+def acyclic_check(spark, d):
+    return G.cyclic_core(D.graph(spark, d).prerequisites).agg(F.count("*").alias("core_edges")).select((F.col("core_edges") == 0).alias("acyclic"), "core_edges")
+
+
+@query(D.with_views("nodes", "one", "up") + f""", t AS (SELECT id FROM nodes WHERE {TARGETS}), a AS (SELECT t.id, c.ancestor, coalesce(mastery, 0) AS m FROM t JOIN closure c ON t.id = c.id LEFT JOIN one ON one.id = c.ancestor),
+    c2 AS (SELECT id, count(*) FILTER (m < 0.35) AS gaps, count(*) FILTER (m >= 0.35 AND m < 0.5) AS reviews, count(*) AS total FROM a GROUP BY 1),
+    r AS (SELECT id, coalesce(gaps, 0) AS gaps, coalesce(reviews, 0) AS reviews, coalesce(total, 0) AS total FROM t LEFT JOIN c2 USING (id))
+    SELECT *, CASE WHEN gaps > 0 THEN 'not_ready' WHEN reviews > 0 THEN 'needs_review' ELSE 'ready' END AS verdict FROM r""")
+def readiness(spark, d):
+    return P.readiness(D.graph(spark, d), D.one(spark, d), _targets(spark, d))
+
+
+@query()
+def learning_path(spark, d):
+    return P.learning_paths(D.graph(spark, d), D.one(spark, d), _targets(spark, d))
+
+
+@query(D.with_views("nodes", "one", "up") + f""", s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes WHERE {TARGETS}) UNION SELECT id, id FROM nodes WHERE {TARGETS}),
+    k AS (SELECT s.target, s.id, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
+    SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count FROM k GROUP BY 1""")
+def path_counters(spark, d):
+    return P.path_counters(learning_path(spark, d)).drop("gaps")
+
+
+@query(D.with_views("nodes", "prereq") + "SELECT id, count(*) AS unlocks FROM prereq JOIN nodes ON source = id WHERE source NOT IN (SELECT target FROM prereq) GROUP BY 1 ORDER BY unlocks DESC, id LIMIT 12")
+def gap_candidates(spark, d):
+    return SG.root_candidates(D.graph(spark, d))
+
+
+@query("""WITH n AS (SELECT p_partkey AS ord, p_name AS name, 'see ' || lead(p_name, 3) OVER (ORDER BY p_partkey) || ' and more' AS descr FROM part),
+    names AS (SELECT name, max(ord) AS named_ord, min(ord) AS place FROM n GROUP BY 1)
+    SELECT n.ord, names.named_ord, names.name AS mention FROM n JOIN names ON contains(n.descr, names.name) AND n.name <> names.name QUALIFY row_number() OVER (PARTITION BY n.ord ORDER BY place) <= 5""")
+def comention(spark, d):
+    part = D.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    later = part.select((F.col("ord") - 3).alias("ord"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("desc"))
+    return SG.mentions(part.join(later, "ord", "left").withColumn("id", F.col("ord")))
+
+
+SIM = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
+
+
+def _index(spark, d):
+    e = D.table(spark, d, "embeddings")
+    norm = F.sqrt(V.dot(F.col("embedding"), F.col("embedding")))
+    return e.withColumn("_n", norm).select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("ord"), F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_n"))).alias("vector"))
+
+
+@query(f"SELECT a.vec_id AS qid, b.vec_id AS id, round({SIM}, 4) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND ({SIM}) > 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.vec_id) <= 10")
+def cosine_topk(spark, d):
+    index = _index(spark, d)
+    return V.topk_join(index, index.filter("ord % 20 = 0").select(F.col("ord").alias("qid"), F.col("vector").alias("qvec")), 10).select("qid", F.col("id").cast("long").alias("id"), "sim")
+
+
+@query(f"SELECT b.vec_id AS id, round(max({SIM}), 4) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 3 GROUP BY 1 HAVING max({SIM}) > 0 ORDER BY max({SIM}) DESC, b.vec_id LIMIT 12")
+def maxpool_hits(spark, d):
+    index = _index(spark, d)
+    picked = [V.query_column(r.vector) for r in index.filter("ord < 3").orderBy("ord").collect()]
+    return V.max_pool(index, picked, 12).select(F.col("ord").alias("id"), F.round("sim", 4).alias("sim"))
+
+
+@query()
+def feedback_hits(spark, d):
+    index = _index(spark, d)
+    picked = [V.query_column(r.vector) for r in index.filter("ord < 2").orderBy("ord").collect()]
+    return V.feedback(index, picked, 12).select(F.col("ord").alias("id"), F.round("sim", 4).alias("sim"))
+
+
+TOKENS = "tok AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+')) AS token FROM part), tf AS (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL), h AS (SELECT *, CAST('0x' || substr(md5(token), 1, 2) AS INT) + 256 * (CAST('0x' || substr(md5(token), 3, 2) AS INT) % 2) AS idx, CASE WHEN substr(md5(token), 15, 1) >= '8' THEN 1.0 ELSE -1.0 END AS sgn FROM tf)"
+
+
+def _texts(spark, d):
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+@query(f"WITH {TOKENS} SELECT id, token, tf, idx, sgn FROM h")
+def hash_tokens(spark, d):
+    t = _texts(spark, d).select("id", F.explode(V.tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    return t.select("id", "token", "tf", V.bucket(F.col("token")).alias("idx"), V.sign(F.col("token")).alias("sgn"))
+
+
+@query(f"WITH {TOKENS}, w AS (SELECT id, idx, sum(sgn * (1 + ln(tf))) AS w FROM h GROUP BY ALL), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT id, idx, round(w / norm, 4) AS value FROM w JOIN n USING (id) WHERE round(w / norm, 4) <> 0")
+def hash_embed(spark, d):
+    return V.embed(_texts(spark, d), "id", "text").select("id", F.posexplode("vector").alias("idx", "x")).select("id", "idx", F.round(F.col("x").cast("double"), 4).alias("value")).filter("value != 0")
+
+
+SEEDS = "seed AS (SELECT * FROM (VALUES ('30', 0), ('77', 1), ('190', 2)) t(id, seed_rank))"
+
+
+def _seeds(spark):
+    return spark.createDataFrame([("30", 0, 0.9), ("77", 1, 0.8), ("190", 2, 0.7)], "id string, seed_rank int, sim double")
+
+
+@query(D.with_views("nodes", "prereq", "one") + f""", {SEEDS}, x AS (SELECT source AS id, min(seed_rank) AS seed_rank FROM prereq JOIN seed ON target = seed.id WHERE source NOT IN (SELECT id FROM seed) GROUP BY 1)
+    SELECT x.id, seed_rank, difficulty, coalesce(mastery, 0) AS mastery, row_number() OVER (ORDER BY seed_rank, coalesce(mastery, 0), difficulty, x.id) - 1 AS place FROM x JOIN nodes USING (id) LEFT JOIN one USING (id)""")
+def prereq_expansion(spark, d):
+    return R.prereq_expansion(D.graph(spark, d), _seeds(spark), D.one(spark, d)).select("id", "seed_rank", "difficulty", "mastery", "place")
+
+
+@query(D.with_views("nodes", "edges", "one") + f""", {SEEDS}, b AS (SELECT source AS near, target AS id, type FROM edges UNION ALL SELECT target, source, type FROM edges),
+    x AS (SELECT b.id, min(CAST(seed_rank AS VARCHAR)) AS seed_text, max(CASE WHEN type = 'confusable_with' THEN 1 ELSE 0 END) AS confusable FROM b JOIN seed ON near = seed.id WHERE b.id NOT IN (SELECT id FROM seed) GROUP BY 1)
+    SELECT x.id, seed_text, confusable, coalesce(mastery, 0) AS mastery, row_number() OVER (ORDER BY coalesce(mastery, 0), seed_text, x.id) - 1 AS place FROM x JOIN nodes USING (id) LEFT JOIN one USING (id)""")
+def fill_expansion(spark, d):
+    s = _seeds(spark)
+    return R.fill_expansion(D.graph(spark, d), s, s.select("id"), D.one(spark, d)).select("id", "seed_text", "confusable", "mastery", "place")
+
+
+@query()
+def local_search(spark, d):
+    hits = _seeds(spark).withColumn("rank", F.col("seed_rank") + 1).drop("seed_rank")
+    return R.local_search(D.graph(spark, d), hits, D.one(spark, d))
+
+
+@query(D.with_views("edges") + "SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(confidence), 4) AS weight FROM edges GROUP BY 1, 2")
+def undirected_weights(spark, d):
+    return G.undirected(D.edges(spark, d)).select("a", "b", F.round("weight", 4).alias("weight"))
+
+
+@query(D.with_views("nodes", "edges") + """, e AS (SELECT source AS id, target AS o FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target), g AS (SELECT id, count(*) AS degree FROM e GROUP BY 1)
+    SELECT id, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / ((SELECT count(*) FROM nodes) - 1), 6) AS centrality FROM nodes LEFT JOIN g USING (id)""")
+def degree_centrality(spark, d):
+    return G.degree_centrality(G.undirected(D.edges(spark, d)), D.nodes(spark, d)).withColumn("centrality", F.round("centrality", 6))
+
+
+@query()
+def communities(spark, d):
+    return C.detect(D.graph(spark, d))
+
+
+@query(D.with_views("nodes", "one") + f""", {KNOWN}, s AS (SELECT domain AS community, count(*) AS size, coalesce(round(round(avg(CASE WHEN m > 0 THEN m END), 8), 3), 0) AS avg_mastery, count(*) FILTER (m <= 0) AS untouched, avg(m) AS m FROM known GROUP BY 1)
+    SELECT community, size, avg_mastery, untouched, {BAND_SQL} AS band, 'community_' || (row_number() OVER (ORDER BY size DESC, community) - 1) AS id FROM s""")
+def community_summary(spark, d):
+    g = D.graph(spark, d)
+    return C.summarize(g, g.nodes.select("id", F.col("domain").alias("community")), D.one(spark, d)).select("community", "size", "avg_mastery", "untouched", "band", "id")
+
+
+@query(D.with_views("nodes", "prereq", "one") + """, golden AS (SELECT ord AS qid, id FROM nodes WHERE ord % 50 = 4 UNION ALL SELECT ord - 1, id FROM nodes WHERE ord % 50 = 5),
+    ctx AS (SELECT 'naive' AS mode, ord - ord % 50 + 4 AS qid, id FROM nodes WHERE ord % 50 BETWEEN 4 AND 9 UNION ALL SELECT 'graph', ord, id FROM nodes WHERE ord % 50 = 4 UNION ALL SELECT 'graph', ord, source FROM prereq JOIN nodes ON target = id WHERE ord % 50 = 4),
+    two AS (SELECT target AS id, source AS a FROM prereq UNION SELECT x.target, y.source FROM prereq x JOIN prereq y ON x.source = y.target),
+    needs AS (SELECT DISTINCT qid, a AS id FROM golden JOIN two USING (id)), want AS (SELECT qid, count(*) AS want FROM needs GROUP BY 1),
+    per AS (SELECT mode, c.qid, max(CASE WHEN g.id IS NOT NULL THEN 1 ELSE 0 END) AS hit, count(DISTINCT n.id) AS got, count(DISTINCT c.id) AS size, count(DISTINCT CASE WHEN coalesce(mastery, 0) >= 0.85 THEN c.id END) AS ok
+        FROM ctx c LEFT JOIN golden g ON g.qid = c.qid AND g.id = c.id LEFT JOIN needs n ON n.qid = c.qid AND n.id = c.id LEFT JOIN one ON one.id = c.id GROUP BY 1, 2)
+    SELECT mode, round(avg(hit), 3) AS golden_hit, round(avg(CASE WHEN want IS NULL THEN 1.0 ELSE got / want END), 3) AS coverage, round(avg(ok / size), 3) AS mastered_ratio, round(avg(size), 1) AS mean_size FROM per LEFT JOIN want USING (qid) GROUP BY 1""")
+def compare_metrics(spark, d):
+    n = D.nodes(spark, d)
+    golden = n.filter("ord % 50 = 4").select(F.col("ord").alias("qid"), "id").union(n.filter("ord % 50 = 5").select(F.col("ord") - 1, "id"))
+    pre = D.graph(spark, d).prerequisites
+    naive = n.filter("ord % 50 between 4 and 9").select(F.lit("naive").alias("mode"), (F.col("ord") - F.col("ord") % 50 + 4).alias("qid"), "id")
+    own = n.filter("ord % 50 = 4")
+    expanded = own.select(F.lit("graph").alias("mode"), F.col("ord").alias("qid"), "id").union(own.join(pre, F.col("id") == F.col("target")).select(F.lit("graph"), own.ord, "source"))
+    return R.compare(naive.union(expanded), golden, pre, D.one(spark, d))
+
+
+LINE_ORD_SQL = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000"
+LINE_EDGES = "le AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS ord, 'C' || (l_partkey % 500) AS source, CASE WHEN l_linenumber % 2 = 0 THEN 's' ELSE 'S' END || l_suppkey AS target, CASE WHEN l_returnflag = 'A' THEN 'related_to' ELSE 'part_of' END AS type, l_discount * 10 AS confidence, l_linestatus AS note FROM lineitem)"
+
+
+def _line_edges(spark, d):
+    return D.table(spark, d, "lineitem").select(F.expr(LINE_ORD_SQL).alias("ord"), F.concat(F.lit("C"), F.col("l_partkey") % 500).alias("source"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "s").otherwise("S"), F.col("l_suppkey")).alias("target"), F.when(F.col("l_returnflag") == "A", "related_to").otherwise("part_of").alias("type"), (F.col("l_discount") * 10).alias("confidence"), F.col("l_linestatus").alias("note"))
+
+
+@query(f"WITH {LINE_EDGES} SELECT min_ord AS ord, source, target, type, confidence, note FROM (SELECT *, min(ord) OVER (PARTITION BY lower(source), lower(target), type) AS min_ord, row_number() OVER (PARTITION BY lower(source), lower(target), type ORDER BY confidence DESC, ord) AS r FROM le) WHERE r = 1")
+def merge_chunk_edges(spark, d):
+    return I.merge_chunk_edges(_line_edges(spark, d))
+
+
+LINE_NODES = "ln AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS ord, 'C' || (l_partkey % 500) AS id, 'n' || l_linenumber AS name, 'Concept' AS type, CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END AS domain, CASE WHEN l_linestatus = 'O' THEN l_linestatus || l_suppkey ELSE '' END AS descr, CAST(1 + l_quantity % 5 AS INT) AS difficulty, 'a' || (l_suppkey % 7) AS alias FROM lineitem)"
+
+
+def _line_nodes(spark, d):
+    return D.table(spark, d, "lineitem").select(F.expr(LINE_ORD_SQL).alias("ord"), F.concat(F.lit("C"), F.col("l_partkey") % 500).alias("id"), F.concat(F.lit("n"), "l_linenumber").alias("name"), F.lit("Concept").alias("type"), F.when(F.col("l_returnflag") == "A", "").otherwise(F.col("l_returnflag")).alias("domain"), F.when(F.col("l_linestatus") == "O", F.concat("l_linestatus", "l_suppkey")).otherwise("").alias("desc"), (1 + F.col("l_quantity") % 5).cast("int").alias("difficulty"), F.array(F.concat(F.lit("a"), F.col("l_suppkey") % 7)).alias("aliases"))
+
+
+@query(f"""WITH {LINE_NODES}, al AS (SELECT id, string_agg(alias, ',' ORDER BY o) AS aliases FROM (SELECT id, alias, min(ord) AS o FROM ln GROUP BY 1, 2) GROUP BY 1)
+    SELECT id, min(ord) AS ord, arg_min(name, ord) AS name, arg_min(difficulty, ord) AS difficulty, coalesce(arg_min(domain, ord) FILTER (domain <> ''), '') AS domain, coalesce(arg_min(descr, ord) FILTER (descr <> ''), '') AS descr, any_value(aliases) AS aliases FROM ln JOIN al USING (id) GROUP BY 1""")
+def merge_chunk_nodes(spark, d):
+    return I.merge_chunk_nodes(_line_nodes(spark, d)).select("id", "ord", "name", "difficulty", "domain", F.col("desc").alias("descr"), F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""WITH r AS (SELECT l_partkey % 500 AS id, 'doc' || (l_suppkey % 5) AS document, 'chunk-' || l_linenumber AS chunk_id, l_returnflag AS quote, min(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000) AS o FROM lineitem GROUP BY 1, 2, 3, 4)
+    SELECT id, count(*) AS n, string_agg(document || '|' || chunk_id || '|' || quote, ';' ORDER BY o, document, chunk_id, quote) AS refs FROM r GROUP BY 1""")
+def provenance_union(spark, d):
+    rows = D.table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("id"), F.concat(F.lit("doc"), F.col("l_suppkey") % 5).alias("document"), F.concat(F.lit("chunk-"), "l_linenumber").alias("chunk_id"), F.col("l_returnflag").alias("quote"), F.expr(LINE_ORD_SQL).alias("ord"))
+    return I.merge_refs(rows, ["id"]).select("id", F.size("refs").alias("n"), F.array_join(F.transform("refs", lambda r: F.concat_ws("|", r["document"], r["chunk_id"], r["quote"])), ";").alias("refs"))
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p_size % 11 = 0 THEN 'missing name' WHEN p_size % 7 = 0 THEN 'unknown type' WHEN p_size % 9 > 5 THEN 'difficulty out of range' END AS reason FROM part) WHERE reason IS NOT NULL GROUP BY 1""")
+def validate_reject(spark, d):
+    rows = D.nodes(spark, d).join(D.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_size"), "ord")
+    rows = rows.withColumn("name", F.when(F.col("p_size") % 11 == 0, " ").otherwise(F.col("name"))).withColumn("type", F.when(F.col("p_size") % 7 == 0, "Thing").otherwise(F.col("type"))).withColumn("difficulty", F.col("p_size") % 9)
+    rows = rows.withColumn("difficulty", F.when(F.col("difficulty") == 0, 1).otherwise(F.col("difficulty")))
+    return I.validate(rows, I.node_reason())[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(D.with_views("nodes") + """, m AS (SELECT DISTINCT CASE WHEN ord % 4 = 0 THEN id WHEN ord % 4 = 1 THEN '  ' || upper(replace(name, ' ', '   ')) WHEN ord % 4 = 2 THEN alias ELSE name || '?' END AS mention FROM nodes),
+    k AS (SELECT id AS key, id, 0 AS way, ord FROM nodes UNION ALL SELECT lower(name), id, 1, ord FROM nodes UNION ALL SELECT lower(alias), id, 2, ord FROM nodes),
+    t AS (SELECT mention, trim(mention) AS key, true AS raw FROM m UNION ALL SELECT mention, regexp_replace(lower(trim(mention)), '\\s+', ' ', 'g'), false FROM m),
+    f AS (SELECT mention, id, way, row_number() OVER (PARTITION BY mention ORDER BY way, ord) AS r FROM t JOIN k USING (key) WHERE raw = (way = 0))
+    SELECT m.mention, f.id AS node_id, CASE way WHEN 0 THEN 'id' WHEN 1 THEN 'name' WHEN 2 THEN 'alias' END AS method FROM m LEFT JOIN f ON f.mention = m.mention AND r = 1""")
+def resolve_exact(spark, d):
+    n = D.nodes(spark, d)
+    k = F.col("ord") % 4
+    text = F.when(k == 0, F.col("id")).when(k == 1, F.concat(F.lit("  "), F.upper(F.replace("name", F.lit(" "), F.lit("   "))))).when(k == 2, F.get("aliases", F.lit(0))).otherwise(F.concat("name", F.lit("?")))
+    return I.resolve_exact(n.select(text.alias("mention")), n)
+
+
+@query()
+def resolve_fuzzy(spark, d):
+    n = D.nodes(spark, d)
+    return I.resolve_fuzzy(n.filter("ord % 40 = 1").select(F.concat("name", F.lit("s")).alias("mention")), n.filter("ord % 40 = 1"))
+
+
+@query(D.with_views("nodes") + "SELECT ord, id, name, CASE WHEN ord % 10 = 0 THEN '5' ELSE CAST(difficulty AS VARCHAR) END AS difficulty, CASE WHEN ord % 20 = 0 THEN NULL ELSE domain END AS domain FROM nodes")
+def layer_overlay(spark, d):
+    n = D.nodes(spark, d)
+    entries = F.when(F.col("ord") % 20 == 0, F.create_map(F.lit("difficulty"), F.lit("5"), F.lit("domain"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("difficulty"), F.lit("5")))
+    return I.overlay_nodes(n, n.filter("ord % 10 = 0").select("id", "ord", entries.alias("set")), ["name", "difficulty", "domain"])
+
+
+@query(D.with_views("nodes") + "SELECT id, 'updated' AS change, CASE WHEN ord % 20 = 0 AND difficulty <> 5 THEN 'difficulty,domain' WHEN ord % 20 = 0 THEN 'domain' ELSE 'difficulty' END AS fields FROM nodes WHERE ord % 20 = 0 OR (ord % 10 = 0 AND difficulty <> 5)")
+def patch_diff(spark, d):
+    n = D.nodes(spark, d).select("ord", "id", "name", F.col("difficulty").cast("string").alias("difficulty"), "domain")
+    return I.patch_diff(n, layer_overlay(spark, d), ["id"], ["name", "difficulty", "domain"]).select("id", "change", F.array_join("fields", ",").alias("fields"))
+
+
+@query("SELECT doc_id, item_id, CASE WHEN length(b.text) > 0 AND contains(d.text, b.text) THEN substr(b.text, 1, 240) ELSE '' END AS quote, contains(d.text, b.text) AS verified FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+def quote_verify(spark, d):
+    docs, items = D.table(spark, d, "documents"), D.table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    j = docs.join(items, F.col("doc_id") % 40 == F.col("item_id"))
+    return j.select("doc_id", "item_id", S.verified_quote(F.col("q"), F.col("text")).alias("quote"), F.contains("text", "q").alias("verified"))
+
+
+@query(D.with_views("edges") + "SELECT source, target, type, source || '__' || target || '__' || type AS link_id, CASE type WHEN 'prerequisite_of' THEN '#185FA5' WHEN 'related_to' THEN '#B4B2A9' ELSE '#D4537E' END AS color, CASE type WHEN 'prerequisite_of' THEN '' WHEN 'related_to' THEN '4,3' ELSE '3,3' END AS dash, CASE type WHEN 'prerequisite_of' THEN 1.8 WHEN 'related_to' THEN 1.0 ELSE 1.2 END AS width FROM edges")
+def style_join(spark, d):
+    return G.styled(D.edges(spark, d))
+
+
+@query(D.with_views("edges") + "SELECT source, target, type, row_number() OVER (PARTITION BY source, target ORDER BY type) - 1 AS idx, count(*) OVER (PARTITION BY source, target) AS n FROM edges")
+def parallel_edges(spark, d):
+    return G.parallel_edges(D.graph(spark, d))
+
+
+@query(D.with_views("nodes", "edges") + ", c AS (SELECT id FROM nodes WHERE domain IN ('Brand#1', 'Brand#2', 'Brand#3')) SELECT source, target, type FROM edges WHERE type IN ('prerequisite_of', 'related_to') AND source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)")
+def facet_filter(spark, d):
+    return G.facets(D.graph(spark, d), ["Brand#1", "Brand#2", "Brand#3"], ["prerequisite_of", "related_to"]).select("source", "target", "type")
+
+
+@query("""WITH p AS (SELECT least(a.l_partkey, b.l_partkey) AS s, greatest(a.l_partkey, b.l_partkey) AS t FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey)
+    SELECT s AS source, t AS target, count(*) AS n, round(least(count(*) / 10, 1), 4) AS confidence FROM p GROUP BY 1, 2 HAVING count(*) > 1""")
+def related_by_order(spark, d):
+    li = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    other = li.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("l_partkey").alias("p2"))
+    pairs = li.join(other, "l_orderkey").filter("l_linenumber < n2 and l_partkey != p2").groupBy(F.least("l_partkey", "p2").alias("source"), F.greatest("l_partkey", "p2").alias("target")).agg(F.count("*").alias("n")).filter("n > 1")
+    return pairs.withColumn("confidence", F.round(F.least(F.col("n") / 10, F.lit(1.0)), 4))
+
+
+def _transcripts(spark, d):
+    lines = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    heading = lambda s: F.concat(F.lit("# "), s["role"], F.lit("\n"), F.coalesce(s["text"], F.lit("")))
+    return lines.select("conv_id", F.array_join(F.transform("t", heading), "\n\n").alias("text"))
+
+
+@query()
+def chunk_text(spark, d):
+    return X.chunks(_transcripts(spark, d), "conv_id", "text", 400)
+
+
+@query()
+def sections(spark, d):
+    return X.sections(_transcripts(spark, d), "conv_id", "text")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    from conceptmill.streaming import evidence
+
+    return evidence.tumbling(D.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(D.with_views("nodes") + "SELECT ord, id, CASE WHEN length(descr) > 12 THEN substr(descr, 1, 11) || '…' ELSE descr END AS short FROM nodes")
+def short_descriptions(spark, d):
+    return D.nodes(spark, d).select("ord", "id", S.shortened(F.col("desc"), 12).alias("short"))
+
+
+@query(D.with_views("edges") + "SELECT source || target || type AS k, CASE WHEN c2 IS NULL THEN 'kept' WHEN c2 > confidence THEN 'updated' ELSE 'kept' END AS change, round(CASE WHEN c2 > confidence THEN c2 ELSE confidence END, 4) AS confidence FROM (SELECT *, CASE WHEN CAST(target AS INT) % 3 = 0 THEN 0.75 END AS c2 FROM edges)")
+def edge_upsert(spark, d):
+    e = D.edges(spark, d)
+    new = e.filter(F.col("target").cast("int") % 3 == 0).withColumn("confidence", F.lit(0.75))
+    return I.upsert_edges(e, new).select(F.concat("source", "target", "type").alias("k"), "change", F.round("confidence", 4).alias("confidence"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select("id")
+    return recommend_next(spark, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
