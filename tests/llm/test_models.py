@@ -195,10 +195,8 @@ def test_pipeline_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
-@pytest.mark.parametrize("name", ["op1_secrets", "op10_decontamination"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_oracles(spark, name):
-    if name not in queries.ORACLE_SQL:
-        pytest.skip("no SQL for it")
     import duckdb
 
     con = duckdb.connect()
