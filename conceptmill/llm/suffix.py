@@ -1,12 +1,11 @@
-"""Removal of repeated byte strings, sharded by content so that no shard holds the corpus.
+"""Removal of repeated byte strings by suffix sorting, sharded by content so that no shard holds the corpus.
 
 Two equal strings of LENGTH bytes select the same anchor, the smallest hash among their GRAM-byte
 grams, at the same place. Runs of string starts that select one anchor are rows; an anchor that
 occurs once cannot start a repetition, so only runs of repeated anchors travel with their bytes.
-Runs meet by anchor, sorted by document and place, and every start whose string was met before is
-marked. This groups exactly what the intervals of a suffix array with common prefixes of LENGTH
-bytes would group; see the README for why the external induced sorting is not the main path yet.
-Strings are compared by a 64-bit hash within a 64-bit anchor.
+Runs meet by anchor. A shard is worked off in blocks of whole anchors: runs equal as a whole fall
+away first, the rest is ordered by induced sorting with common-prefix values (see induced.py), and
+of every class of suffixes with a common prefix of LENGTH bytes all but the earliest are marked.
 """
 
 from __future__ import annotations
@@ -21,10 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, checkpointed, string_chunks
 from .decontam import _powers
+from .induced import repeated
 
 #: Bytes of a string that may not repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 100, 32
 STEP_BYTES = CHUNK_BYTES // 4
+#: Bytes of runs that are suffix-sorted together; whole anchors stay together.
+BLOCK_BYTES = 4 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,6 +76,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
     last = np.append(new[1:], len(start)) - 1
+    # Longer runs have the anchor in several places; they are cut, so that rows stay short.
+    pieces = -(-(last - new + 1) // width)
+    at = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    end = np.repeat(last, pieces)
+    new = np.repeat(new, pieces) + at * width
+    last = np.minimum(new + width - 1, end)
     text, anchor = text[new], least[new]
     many = np.minimum(times[np.searchsorted(places, mark(text, anchor))], 2)
     return text, anchor.view(np.int64), start[new] - offsets[text], start[last] - offsets[text], many
@@ -103,45 +111,54 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _block_ranges(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int], list[int]]:
+    """(doc, start, stop) of strings met before, for runs that come in order of document and place within an anchor."""
+    seen: set[bytes] = set()
+    docs, starts, stops, fresh = [], [], [], []
+    for doc, first, raw in rows:
+        if raw not in seen:
+            seen.add(raw)
+            fresh.append((doc, first, raw))
+        else:
+            docs.append(doc)
+            starts.append(first)
+            stops.append(first + len(raw))
+    data = np.frombuffer(b"".join(r[2] for r in fresh), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in fresh]))).astype(np.int64)
+    hit = np.flatnonzero(repeated(data, offsets, LENGTH))
+    if len(hit):
+        row = np.searchsorted(offsets, hit, "right") - 1
+        cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row) > 0))
+        begin, end, row = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], row[np.append(0, cut + 1)]
+        for r, a, b, base in zip(row.tolist(), begin.tolist(), end.tolist(), offsets[row].tolist(), strict=True):
+            docs.append(fresh[r][0])
+            starts.append(fresh[r][1] + a - base)
+            stops.append(fresh[r][1] + b - base + LENGTH)
+    return docs, starts, stops
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges of strings met before; rows come sorted by anchor, document and place."""
-    open_anchor, met = None, np.zeros(0, np.uint64)
-    for whole in batches:
-        data_column = whole.column(3)
-        for low in range(0, whole.num_rows, 4096):
-            batch = whole.slice(low, 4096)
-            if not batch.num_rows:
-                continue
-            column = data_column.slice(low, 4096)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            counts = np.diff(offsets) - LENGTH + 1
-            total = np.cumsum(counts)
-            row = np.repeat(np.arange(len(counts)), counts)
-            inner = np.arange(total[-1]) - np.repeat(total - counts, counts)
-            strings = rolling(data, LENGTH)[offsets[:-1][row] + inner]
-            anchor = batch.column(0).to_numpy()
-            group = np.cumsum(np.concatenate(([0], anchor[1:] != anchor[:-1])))[row]
-            order = np.lexsort((strings, group))
-            same = np.zeros(len(order), bool)
-            same[1:] = (strings[order[1:]] == strings[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
-            again = np.zeros(len(order), bool)
-            again[order] = same
-            if open_anchor == anchor[0] and len(met):
-                head = group == 0
-                again[head] |= np.isin(strings[head], met)
-            tail = group == group[-1]
-            mine = np.unique(strings[tail])
-            met = np.union1d(met, mine) if anchor[-1] == open_anchor else mine
-            open_anchor = anchor[-1]
-            hit = np.flatnonzero(again)
-            if len(hit):
-                cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row[hit]) > 0))
-                begin, end = hit[np.concatenate(([0], cut + 1))], hit[np.append(cut, len(hit) - 1)]
-                at = row[begin]
-                base = batch.column(2).to_numpy()[at].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(1).to_numpy()[at]), pa.array(base + inner[begin]), pa.array(base + inner[end] + LENGTH)], names=["doc", "start", "stop"])
+    """Byte ranges of strings met before; rows come sorted by anchor, document and place.
+
+    Whole anchors are gathered into blocks of about BLOCK_BYTES, which are suffix-sorted.
+    """
+    rows: list[tuple[int, int, bytes]] = []
+    size, open_anchor = 0, None
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(4)]
+        for anchor, doc, first, raw in zip(*columns, strict=True):
+            if anchor != open_anchor and size >= BLOCK_BYTES:
+                yield _as_ranges(rows)
+                rows, size = [], 0
+            open_anchor = anchor
+            rows.append((doc, first, raw))
+            size += len(raw)
+    if rows:
+        yield _as_ranges(rows)
+
+
+def _as_ranges(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _block_ranges(rows)], names=["doc", "start", "stop"])
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
