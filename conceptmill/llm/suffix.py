@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, checkpointed, string_chunks
+from .common import string_chunks
 from .decontam import _powers
 from .induced import repeated
 
 #: Bytes of a string that may not repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 100, 32
-STEP_BYTES = CHUNK_BYTES // 4
+STEP_BYTES = 1 << 20
 #: Bytes of runs that are suffix-sorted together; whole anchors stay together.
 BLOCK_BYTES = 4 << 20
 
@@ -88,77 +88,93 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, digest, run): a run packs its first start, its length and whether it can repeat itself."""
     for batch in batches:
         for part, data, offsets in string_chunks(batch, "text", STEP_BYTES):
             text, anchor, first, last, many = anchors(data, offsets)
-            doc = part.column(0).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(many.astype(np.int32))], names=["doc", "anchor", "first", "last", "many"])
+            run = first << 9 | (last - first) << 2 | many
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(run)], names=["anchor", "digest", "run"])
+
+
+def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor, those whose anchor is repeated; the last row waits for the next batch."""
+    held, held_again = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        anchor = rows.column(0).to_numpy()
+        again = (rows.column(2).to_numpy() & 3) > 1
+        same = anchor[1:] == anchor[:-1]
+        again[1:] |= same
+        again[:-1] |= same
+        again[0] |= held_again
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(again[:-1]))
+        held, held_again = rows.slice(rows.num_rows - 1), bool(again[-1])
+    if held is not None and held_again:
+        yield held
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["anchor", "first_key", "digest", "first", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     for batch in batches:
         for row in batch.to_pylist():
             raw = row["text"].encode()
-            runs = row["runs"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["anchor"] for r in runs], pa.int64()),
-                    pa.array([row["doc"]] * len(runs), pa.int64()),
-                    pa.array([r["first"] for r in runs], pa.int32()),
-                    pa.array([raw[r["first"] : r["last"] + LENGTH] for r in runs], pa.binary()),
-                ],
-                names=["anchor", "doc", "first", "bytes"],
-            )
-
-
-def _block_ranges(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int], list[int]]:
-    """(doc, start, stop) of strings met before, for runs that come in order of document and place within an anchor."""
-    seen: set[bytes] = set()
-    docs, starts, stops, fresh = [], [], [], []
-    for doc, first, raw in rows:
-        if raw not in seen:
-            seen.add(raw)
-            fresh.append((doc, first, raw))
-        else:
-            docs.append(doc)
-            starts.append(first)
-            stops.append(first + len(raw))
-    data = np.frombuffer(b"".join(r[2] for r in fresh), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in fresh]))).astype(np.int64)
-    hit = np.flatnonzero(repeated(data, offsets, LENGTH))
-    if len(hit):
-        row = np.searchsorted(offsets, hit, "right") - 1
-        cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row) > 0))
-        begin, end, row = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], row[np.append(0, cut + 1)]
-        for r, a, b, base in zip(row.tolist(), begin.tolist(), end.tolist(), offsets[row].tolist(), strict=True):
-            docs.append(fresh[r][0])
-            starts.append(fresh[r][1] + a - base)
-            stops.append(fresh[r][1] + b - base + LENGTH)
-    return docs, starts, stops
+            out = [(r["anchor"], row["first_key"], row["digest"], r["run"] >> 9, raw[r["run"] >> 9 : (r["run"] >> 9) + (r["run"] >> 2 & 127) + LENGTH]) for r in row["runs"]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges of strings met before; rows come sorted by anchor, document and place.
+class _Block:
+    """Runs of whole anchors: those equal to an earlier run are answered at once, the others are suffix-sorted."""
 
-    Whole anchors are gathered into blocks of about BLOCK_BYTES, which are suffix-sorted.
-    """
-    rows: list[tuple[int, int, bytes]] = []
-    size, open_anchor = 0, None
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(4)]
-        for anchor, doc, first, raw in zip(*columns, strict=True):
-            if anchor != open_anchor and size >= BLOCK_BYTES:
-                yield _as_ranges(rows)
-                rows, size = [], 0
-            open_anchor = anchor
-            rows.append((doc, first, raw))
-            size += len(raw)
-    if rows:
-        yield _as_ranges(rows)
+    def __init__(self) -> None:
+        self.fresh: list[tuple[bytes, int, bytes]] = []
+        self.seen: set[bytes] = set()
+        self.size = 0
+        self.out: list[tuple[bytes, int, int]] = []
+
+    def add(self, digest: bytes, first: int, raw: bytes) -> None:
+        if raw in self.seen:
+            self.out.append((digest, first, first + len(raw)))
+        else:
+            self.seen.add(raw)
+            self.fresh.append((digest, first, raw))
+            self.size += len(raw)
+
+    def sort(self) -> None:
+        data = np.frombuffer(b"".join(r[2] for r in self.fresh), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in self.fresh]))).astype(np.int64)
+        hit = np.flatnonzero(repeated(data, offsets, LENGTH))
+        if len(hit):
+            row = np.searchsorted(offsets, hit, "right") - 1
+            cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row) > 0))
+            begin, end, row = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], row[np.append(0, cut + 1)]
+            for r, a, b, base in zip(row.tolist(), begin.tolist(), end.tolist(), offsets[row].tolist(), strict=True):
+                digest, first, _ = self.fresh[r]
+                self.out.append((digest, first + a - base, first + b - base + LENGTH))
+        self.fresh, self.seen, self.size = [], set(), 0
+
+    def take(self) -> pa.RecordBatch:
+        columns = [*zip(*self.out, strict=True)] or [(), (), ()]
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "start", "stop"])
 
 
-def _as_ranges(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _block_ranges(rows)], names=["doc", "start", "stop"])
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Byte ranges of strings met before; rows come sorted by anchor, first key, digest and place."""
+    block, last = _Block(), None
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in (0, 2, 3, 4)]
+        for anchor, digest, first, raw in zip(*columns, strict=True):
+            if last is not None and anchor != last[0] and block.size >= BLOCK_BYTES:
+                block.sort()
+            if (anchor, digest, first) != last:  # a repeated row is the same document
+                block.add(digest, first, raw)
+            last = anchor, digest, first
+        yield block.take()
+    block.sort()
+    yield block.take()
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,26 +207,27 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     A byte is removed if a string of LENGTH bytes over it also starts earlier: in a smaller key,
     or earlier in the same text. Null and short texts lose nothing. A text equal to one with a
     smaller key is removed whole; rows that repeat key and text are one document with one result
-    each; a null key sorts before all others; one key over several texts orders them by digest.
+    each; a null key sorts before all others; one key over several texts orders them by MD5 digest.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text")).withColumn("digest", F.sha2("text", 256))
     order_key = F.coalesce("key", F.lit(-(2**63)))
-    texts = rows.groupBy("digest").agg(F.min(order_key).alias("first_key"))
-    # Documents are numbered by their first key and digest; the number is their order.
-    named = checkpointed(texts.sort("first_key", "digest").withColumn("doc", F.monotonically_increasing_id()))
-    owners = rows.filter(F.octet_length("text") >= LENGTH).join(named.hint("merge"), "digest")
-    firsts = owners.filter(order_key == F.col("first_key")).select("doc", "text")
-    found = firsts.select("doc", "text").mapInArrow(_anchor_rows, "doc long, anchor long, first int, last int, many int").distinct()
-    found = checkpointed(found)
-    often = found.groupBy("anchor").agg(F.sum("many").alias("n")).filter("n > 1").select(F.col("anchor").alias("again"))
-    runs = found.join(often, F.col("anchor") == F.col("again")).groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-    held = firsts.join(runs, F.col("doc") == F.col("r_doc")).select("doc", "text", "runs")
-    contexts = held.mapInArrow(_context_rows, "anchor long, doc long, first int, bytes binary").distinct()
+    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    firsts = rows.groupBy("digest").agg(F.min(order_key).alias("first_key"))
+    ties = lambda side, name: side.withColumnRenamed("digest", name)
+    # Every use of the texts joins them by digest with a small side, over one and the same exchange.
+    whole = rows.join(ties(firsts, "f_digest").hint("merge"), F.col("digest") == F.col("f_digest"))
+    # Not an equation: as one it would become a join key and ask for an exchange of its own.
+    texts = whole.filter(order_key <= F.col("first_key"))
+    found = texts.select("digest", "text").mapInArrow(_anchor_rows, "anchor long, digest binary, run long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "first").mapInArrow(_repeats, "doc long, start long, stop long")
-    per_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).join(named.select(F.col("doc").alias("n_doc"), "digest"), F.col("doc") == F.col("n_doc")).select(F.col("digest").alias("p_digest"), "ranges")
-    marked = rows.join(named.select(F.col("digest").alias("t_digest"), "first_key").hint("merge"), F.col("digest") == F.col("t_digest")).join(per_doc, F.col("digest") == F.col("p_digest"), "left")
-    copy = order_key > F.col("first_key")
-    out = marked.select("key", "text", "ranges", copy.alias("copy")).mapInArrow(_removals, "key long, n_bytes long, removed array<struct<start:long,stop:long>>, kept_sha256 string")
+    again = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_anchors, found.schema)
+    runs = again.groupBy(F.col("digest").alias("r_digest")).agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    wanted = runs.join(firsts, F.col("r_digest") == F.col("digest")).drop("digest")
+    held = rows.join(wanted.hint("merge"), F.col("digest") == F.col("r_digest")).filter(order_key <= F.col("first_key"))
+    contexts = held.select("digest", "text", "first_key", "runs").mapInArrow(_context_rows, "anchor long, first_key long, digest binary, first long, bytes binary")
+    ranges = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "first_key", "digest", "first").mapInArrow(_repeats, "digest binary, start long, stop long")
+    per_text = ranges.groupBy(F.col("digest").alias("p_digest")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    small = ties(firsts, "f_digest").join(per_text, F.col("f_digest") == F.col("p_digest"), "left").select("f_digest", "first_key", "ranges")
+    marked = rows.join(small.hint("merge"), F.col("digest") == F.col("f_digest"))
+    out = marked.select("key", "text", "ranges", (order_key > F.col("first_key")).alias("copy")).mapInArrow(_removals, "key long, n_bytes long, removed array<struct<start:long,stop:long>>, kept_sha256 string")
     return out.withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from conceptmill.llm import queries, suffix
 
 def brute(docs):
     met, out, whole = set(), {}, {}
-    for key, text in sorted(set(docs), key=lambda d: (d[0], hashlib.sha256((d[1] or "").encode()).hexdigest())):
+    for key, text in sorted(set(docs), key=lambda d: (d[0], hashlib.md5((d[1] or "").encode()).digest())):
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for i in range(len(raw) - 99):
