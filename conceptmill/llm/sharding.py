@@ -18,6 +18,8 @@ from .common import checkpointed
 
 #: Runs up to this many groups per shard go through the heap one by one.
 HEAP_ROUNDS = 4
+#: Rows that share a numbering bucket, over all shards.
+BUCKET_ROWS = 10_000
 
 
 def schedule(sizes: list[int], counts: list[int], shards: int) -> tuple[list[list[int]], list[int]]:
@@ -80,9 +82,12 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     homes = placed.withColumn("part", part).join(steps, [F.col("part") == F.col("r_part"), F.col("bytes") == F.col("r_bytes")]).select(F.col("grp").alias("home"), shard.alias("shard"))
     # A group with very many rows is split at run time by the adaptive skew join.
     dealt_rows = rows.join(homes.hint("merge"), F.col("grp") == F.col("home")).drop("grp", "home")
-    numbered = checkpointed(dealt_rows.withColumn("id", F.monotonically_increasing_id()).withColumn("part", part))
+    # Rows are numbered within (bucket, shard): buckets of a hash of the key, so none holds a hot group.
+    dealt = checkpointed(dealt_rows.withColumn("id", F.monotonically_increasing_id()))
+    buckets = dealt.count() // BUCKET_ROWS + 1
+    numbered = dealt.withColumn("part", F.pmod(F.xxhash64("key", "id"), F.lit(buckets)))
     counts = numbered.groupBy("part", "shard").agg(F.count("*").alias("n"))
     before = counts.select(F.col("part").alias("b_part"), F.col("shard").alias("b_shard"), (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part", "shard").orderBy("id")) - 1
+    place = F.row_number().over(Window.partitionBy("part", "shard").orderBy("key", "id")) - 1
     placed_rows = numbered.withColumn("place", place).join(before.hint("merge"), [F.col("part") == F.col("b_part"), F.col("shard") == F.col("b_shard")])
     return placed_rows.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot"))
