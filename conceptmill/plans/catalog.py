@@ -382,7 +382,7 @@ def resolve_exact(spark, d):
 @query()
 def resolve_fuzzy(spark, d):
     n = D.nodes(spark, d)
-    return I.resolve_fuzzy(n.filter("ord % 40 = 1").select(F.concat("name", F.lit("s")).alias("mention")), n.filter("ord % 40 = 1"))
+    return I.resolve_fuzzy(n.select(F.concat("name", F.lit("s")).alias("mention")), n)
 
 
 @query(D.with_views("nodes") + "SELECT ord, id, name, CASE WHEN ord % 10 = 0 THEN '5' ELSE CAST(difficulty AS VARCHAR) END AS difficulty, CASE WHEN ord % 20 = 0 THEN NULL ELSE domain END AS domain FROM nodes")
