@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,16 +39,16 @@ def readiness(g: Graph, one: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("gaps") > 0, "not_ready").when(F.col("reviews") > 0, "needs_review").otherwise("ready"))
 
 
-def _teach(rows: pd.DataFrame) -> pd.DataFrame:
+def _teach(scope: list) -> list[str]:
     """Topological order of one target's scope: of what is ready, the deepest, easiest, least id first."""
-    info = {r.id: r for r in rows.itertuples()}
-    waits = {k: [p for p in (r.needs if r.needs is not None else []) if p in info] for k, r in info.items()}
+    info = {r["id"]: r for r in scope}
+    waits = {k: [p for p in (r["needs"] if r["needs"] is not None else []) if p in info] for k, r in info.items()}
     missing = {k: len(v) for k, v in waits.items()}
     follow: dict[str, list[str]] = {}
     for k, v in waits.items():
         for p in v:
             follow.setdefault(p, []).append(k)
-    key = lambda k: (-info[k].depth, info[k].difficulty, k)
+    key = lambda k: (-info[k]["depth"], info[k]["difficulty"], k)
     heap = [key(k) for k, n in missing.items() if not n]
     heapq.heapify(heap)
     order = []
@@ -58,7 +59,12 @@ def _teach(rows: pd.DataFrame) -> pd.DataFrame:
             missing[c] -= 1
             if not missing[c]:
                 heapq.heappush(heap, key(c))
-    return pd.DataFrame({"target": rows["target"].iloc[0], "id": order, "step": range(len(order))})
+    return order
+
+
+def _orders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"target": f["target"], "ids": [_teach(scope) for scope in f["scope"]]})
 
 
 def learning_paths(g: Graph, one: DataFrame, targets: DataFrame, include_known: bool = True) -> DataFrame:
@@ -72,7 +78,8 @@ def learning_paths(g: Graph, one: DataFrame, targets: DataFrame, include_known:
     scope = scope.filter("id != target").unionByName(goals.select(F.col("id").alias("target"), "id", F.lit(0).alias("depth")))
     needs = g.prerequisites.groupBy(F.col("target").alias("id")).agg(F.collect_set("source").alias("needs"))
     rows = scope.join(needs, "id", "left").join(g.nodes.select("id", "difficulty"), "id")
-    steps = rows.groupBy("target").applyInPandas(_teach, "target string, id string, step long")
+    scopes = rows.groupBy("target").agg(F.collect_list(F.struct("id", "depth", "difficulty", "needs")).alias("scope"))
+    steps = scopes.mapInPandas(_orders, "target string, ids array<string>").select("target", F.posexplode("ids").alias("step", "id"))
     full = with_mastery(steps.join(scope, ["target", "id"]), one).withColumn("status", S.status(F.col("mastery")))
     if not include_known:
         full = full.filter((F.col("status") != "known") | (F.col("id") == F.col("target")))

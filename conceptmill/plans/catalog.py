@@ -186,15 +186,30 @@ def readiness(spark, d):
     return P.readiness(D.graph(spark, d), D.one(spark, d), _targets(spark, d))
 
 
+@query(D.with_views("nodes", "one", "up") + """, a AS (SELECT nodes.id, c.ancestor, coalesce(mastery, 0) AS m FROM nodes JOIN closure c ON nodes.id = c.id LEFT JOIN one ON one.id = c.ancestor),
+    c2 AS (SELECT id, count(*) FILTER (m < 0.35) AS gaps, count(*) FILTER (m >= 0.35 AND m < 0.5) AS reviews, count(*) AS total FROM a GROUP BY 1),
+    r AS (SELECT id, coalesce(gaps, 0) AS gaps, coalesce(reviews, 0) AS reviews, coalesce(total, 0) AS total FROM nodes LEFT JOIN c2 USING (id))
+    SELECT *, CASE WHEN gaps > 0 THEN 'not_ready' WHEN reviews > 0 THEN 'needs_review' ELSE 'ready' END AS verdict FROM r""")
+def readiness_all(spark, d):
+    return P.readiness(D.graph(spark, d), D.one(spark, d), D.nodes(spark, d).select("id"))
+
+
 @query()
 def learning_path(spark, d):
-    return P.learning_paths(D.graph(spark, d), D.one(spark, d), _targets(spark, d))
+    return P.learning_paths(D.graph(spark, d), D.one(spark, d), D.nodes(spark, d).select("id"))
 
 
 @query(D.with_views("nodes", "one", "up") + f""", s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes WHERE {TARGETS}) UNION SELECT id, id FROM nodes WHERE {TARGETS}),
     k AS (SELECT s.target, s.id, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
     SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count FROM k GROUP BY 1""")
 def path_counters(spark, d):
+    return P.path_counters(P.learning_paths(D.graph(spark, d), D.one(spark, d), _targets(spark, d))).drop("gaps")
+
+
+@query(D.with_views("nodes", "one", "up") + """, s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes) UNION SELECT id, id FROM nodes),
+    k AS (SELECT s.target, s.id, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
+    SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count FROM k GROUP BY 1""")
+def path_counters_all(spark, d):
     return P.path_counters(learning_path(spark, d)).drop("gaps")
 
 
