@@ -1,11 +1,9 @@
 import pytest
+from graph_helpers import P, make_edges, make_nodes
 from pyspark.sql import SparkSession
 
 from conceptmill.operators.graph import Graph
 
-NODES = "ord long, id string, name string, type string, domain string, desc string, difficulty int, aliases array<string>"
-EDGES = "ord long, source string, target string, type string, confidence double, note string"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,19 +15,6 @@ def spark():
     yield session
 
 
-def make_nodes(spark, rows):
-    """rows: (id, name, difficulty, domain, aliases)."""
-    return spark.createDataFrame([(i, r[0], r[1], "Concept", r[3], f"about {r[1]}", r[2], r[4]) for i, r in enumerate(rows)], NODES)
-
-
-def make_edges(spark, rows):
-    """rows: (source, target, type, confidence)."""
-    return spark.createDataFrame([(i, *r, "") for i, r in enumerate(rows)], EDGES)
-
-
-P = "prerequisite_of"
-
-
 @pytest.fixture(scope="session")
 def graph(spark):
     """a -> b -> d -> e, a -> c -> d, a -> e (a shortcut), f beside b, lone x."""

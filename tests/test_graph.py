@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import P, make_edges, make_nodes
+from graph_helpers import P, make_edges, make_nodes
 
 from conceptmill.operators import communities as C
 from conceptmill.operators import graph as G

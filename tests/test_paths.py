@@ -1,5 +1,5 @@
 import pytest
-from conftest import P, make_edges, make_nodes
+from graph_helpers import P, make_edges, make_nodes
 
 from conceptmill.operators import paths as PA
 from conceptmill.operators.graph import Graph
