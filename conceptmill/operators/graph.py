@@ -6,26 +6,18 @@ edges(ord, source, target, type, confidence, note)
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptmill.checkpoints import checkpointed as cut
 from conceptmill.functions import scalar as S
 
 PREREQUISITE = "prerequisite_of"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder that the session names; a temporary one only where it names none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="conceptmill-"))
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Graph:
     nodes: DataFrame
