@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptmill.checkpoints import checkpointed
+
 #: Bytes of text that one vectorised step works on; numpy temporaries are a small multiple of it.
 CHUNK_BYTES = 1 << 20
 
@@ -19,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    local shell) a temporary folder is set instead. Replicated storage outlives lost executors.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="conceptmill-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
 
@@ -73,13 +62,14 @@ def arrow_schema(df: DataFrame) -> pa.Schema:
     return to_arrow_schema(df.schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)`` (longs); root is the smallest node reachable.
 
     Alternating large-star and small-star contraction: each round is two aggregations and two
     joins on the edge list, the edge count never grows beyond the input's, and a hub's edges are
     split by the adaptive skew join, since neither step gathers a neighbourhood into one row.
-    Every round is checkpointed, so a lost executor costs one round at most.
+    Every round is checkpointed, so a lost executor costs one round at most. It ends when a round
+    changes nothing, which the count and a sum of the rows' hashes show; any long can be an id.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -97,14 +87,15 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     current = checkpointed(ordered)
     mark = None
-    for _ in range(rounds):
+    while True:
         current = checkpointed(star(star(current, True), False))
-        now = current.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if mark is None or mark[0] == 0:
+    if mark[0] == 0:
         return spark.createDataFrame([], "node long, root long")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+__all__ = ["CHUNK_BYTES", "arrow_schema", "checkpointed", "connected_components", "let", "string_chunks", "table", "without"]

@@ -77,3 +77,13 @@ def test_chains_become_one_component(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {k: 100 for k in (100, 101, 205, 300)}
+
+
+def test_components_of_large_ids(spark):
+    from conceptmill.llm.common import connected_components
+
+    top = 2**63 - 1
+    edges = [(top - i, top - i - 1) for i in range(40)] + [(2**62 + i, 2**62 + 100) for i in range(40)] + [(-(2**63), -(2**63) + 1)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {top - i: top - 40 for i in range(41)} | {k: 2**62 for e in edges[40:80] for k in e} | {-(2**63): -(2**63), -(2**63) + 1: -(2**63)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
