@@ -181,7 +181,7 @@ def test_pipeline_stages_take_effect(spark):
         before, after = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
         if name == "near_duplicates":
-            comp = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+            comp = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
             assert set(after) == set(comp.values())
         elif name == "decontamination":
             hit = {r.doc_id for r in decontam.find_overlap(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("size(hit_spans) > 0").collect()}

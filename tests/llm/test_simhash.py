@@ -87,3 +87,96 @@ def test_components_of_large_ids(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {top - i: top - 40 for i in range(41)} | {k: 2**62 for e in edges[40:80] for k in e} | {-(2**63): -(2**63), -(2**63) + 1: -(2**63)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Near-duplicates on five-word shingles
+
+
+def shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", lower(text))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_brute(docs):
+    """Components of all pairs at similarity 0.8 or more, by the union of links."""
+    sets = [shingles(t) for _, t in docs]
+    comp = list(range(len(docs)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in pairs:
+        comp[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (k, _) in enumerate(docs):
+        least[root(i)] = min(least.get(root(i), k), k)
+    return {k: least[root(i)] for i, (k, _) in enumerate(docs)}, pairs
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_edited_copies_are_found_and_others_left_alone(spark):
+    rng = random.Random(8)
+    docs, k = [], 0
+    for _ in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        docs.append((k := k + 1, " ".join(words)))
+        for share in (0.002, 0.01, 0.02, 0.05, 0.2):
+            docs.append((k := k + 1, edited(rng, words, max(1, int(share * len(words))))))
+    want, pairs = near_brute(docs)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == set(want) and len(pairs) > 100
+    assert all(want[c] == want[k] for k, c in got.items())  # never more than the links give
+    assert sum(got[docs[i][0]] == got[docs[j][0]] for i, j in pairs) >= 0.97 * len(pairs)
+
+
+def test_one_large_group_of_copies_of_copies(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    docs = [(k, edited(rng, words, k % 5)) for k in range(600)] + [(1000, " ".join(f"v{i}" for i in range(80)))]
+    df = spark.createDataFrame(docs + docs[:50], "doc_id long, text string")
+    stay = [r.doc_id for r in simhash.near_representatives(df).collect()]
+    assert sorted(stay) == [0, 0, 1000]
+
+
+def test_forest_has_the_components_of_the_links():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        prints = np.repeat(rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64), 6, axis=0) ^ rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
+        near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 50
+
+        def parts(pairs):
+            home = list(range(30))
+            for a, b in pairs:
+                x, y = home[a], home[b]
+                home = [min(x, y) if h in (x, y) else h for h in home]
+            return home
+
+        links = simhash.forest(prints, 50)
+        assert len(links) < 30 and parts(links) == parts(zip(*np.nonzero(near), strict=True))
+
+
+def test_near_awkward_rows(spark):
+    df = spark.createDataFrame([*AWKWARD, (None, "one", "en", "s", 3)], SCHEMA).selectExpr("*", "1 as stays", "2 as rep", "3 as bucket")
+    got = rows(simhash.near_components(df).filter("doc_id is not null"))
+    assert got == sorted(((r[0], near_brute([x[:2] for x in AWKWARD])[0][r[0]]) for r in AWKWARD), key=repr)
+    out = simhash.near_representatives(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [1, 3, 4, 7, 8, 9, 10] and out.filter("doc_id is null").count() == 1
+    assert rows(simhash.near_components(df.limit(0))) == [] and simhash.near_representatives(df.limit(0)).count() == 0
+    big = " ".join(f"w{i}" for i in range(300_000))
+    far = spark.createDataFrame([(1, big), (2, big + " end"), (3, "short " * 5)], "doc_id long, text string")
+    assert sorted(rows(simhash.near_components(far))) == [(1, 1), (2, 1), (3, 3)]
