@@ -1,10 +1,12 @@
 """License scans in SQL expressions: a positional index of rare licence words.
 
-Every document gets the postings (word, position) of the words that any template uses. A template
+Every document gets the postings (word, position) of the words that any template uses. Function
+words are no part of the index: in a template they hold a place, but are not compared. A template
 is looked up by its words in falling inverse document frequency over the corpus: postings shifted
 by the word's place in the template are intersected, rarest first, so what is left are the starts
 at which the words stand in the template's relative positions. The mandatory key phrase must be
-complete at a start; the share of the template's other words found there is the match's score.
+complete at a start, which earns the label; the share of the template's words found at that start
+is its score, and the best start of any wording counts.
 """
 
 from __future__ import annotations
@@ -18,29 +20,41 @@ from .common import checkpointed, let, without
 
 # Phrases whose places always count, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, wording, mandatory key phrase inside it). A label may have several wordings.
+# Opening or distinctive passages of licences and their notices, in lower case without
+# punctuation. (label, wording, mandatory key phrase inside it); a label may have several wordings.
 TEMPLATES = [
     ("agpl", "gnu affero general public license version 3", "affero general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "affero general public license as published"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "copyright holders and contributors as is"),
     ("bsd", "released under the bsd license", "bsd license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "software and accompanying documentation covered"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
     ("cc0", "released under the cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
+    ("epl", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("gpl-2", "gnu general public license version 2", "general public license version 2"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "free software foundation either version 2"),
     ("gpl-3", "gnu general public license version 3", "general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "free software foundation either version 3"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose with or without fee"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "event will the authors be held liable"),
 ]
-#: Share of a template's words that must stand in place.
-MIN_COVERAGE = 0.5
+# Words that hold a place in a template without being compared.
+FUNCTION_WORDS = "a an and any are as at be been but copy copies file for from form held in into is may not of on or out that the this to use will with you your".split()
 _WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-VOCABULARY = sorted({w for phrase in [*BASE, *(t for _, t, _ in TEMPLATES)] for w in phrase.split()})
+VOCABULARY = sorted({w for phrase in BASE for w in phrase.split()} | {w for _, t, _ in TEMPLATES for w in t.split() if w not in FUNCTION_WORDS})
 _ID = {w: k for k, w in enumerate(VOCABULARY)}
 _SHIFT = 1 << 32
 
@@ -74,14 +88,21 @@ def _word_list(words: list[tuple[str, int]]) -> list[dict]:
     return [{"word": _ID[w], "place": i} for w, i in words]
 
 
+def compared(wording: str, key: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """(word, place) of the wording's compared words, and of those inside its key phrase."""
+    words, phrase = wording.split(), key.split()
+    at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+    placed = [(w, i) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
+    return placed, [(w, i) for w, i in placed if at <= i < at + len(phrase)]
+
+
 def plans(frequencies: dict[str, int]) -> Column:
-    """The templates as one constant: each key phrase's words rarest first, and all words."""
+    """The templates as one constant: each key phrase's words rarest first, and all compared words."""
     made = []
     for label, wording, key in TEMPLATES:
-        words, phrase = wording.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        rare = sorted(range(at, at + len(phrase)), key=lambda i: (frequencies.get(words[i], 0), i))
-        made.append({"label": label, "key": _word_list([(words[i], i) for i in rare]), "words": _word_list([(w, i) for i, w in enumerate(words)])})
+        words, phrase = compared(wording, key)
+        rare = sorted(phrase, key=lambda x: (frequencies.get(x[0], 0), x[1]))
+        made.append({"label": label, "key": _word_list(rare), "words": _word_list(words)})
     return F.from_json(F.lit(json.dumps(made)), _PLAN)
 
 
@@ -106,7 +127,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z in lower case.
     ``keep`` names the columns carried along (default: all but the text). Null and empty texts
-    match nothing; repeated rows are scanned alike; clashing columns are replaced. The postings
+    match nothing; repeated rows are scanned alike; clashing columns are replaced; of several starts
+    of a template the best counts, so bare mentions never outvote a full match. The postings
     are checkpointed once, so the frequencies and the matching read the texts a single time.
     """
     source = without(docs, "n_words", "hits", "base_places", "matches")
@@ -120,12 +142,14 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     def matched(h: Column) -> Column:
         def scored(t: Column, starts: Column) -> Column:
-            total = F.aggregate(t["words"], F.lit(0), lambda n, w: n + F.size(F.array_intersect(_starts(h, w), starts)))
-            share = total.cast("double") / (F.size(t["words"]) * F.size(starts))
+            # Starts at which each word stands; a start's share is how often it occurs among them.
+            met = F.flatten(F.transform(t["words"], lambda w: F.array_intersect(_starts(h, w), starts)))
+            most = F.array_max(F.transform(starts, lambda s: F.size(F.filter(met, lambda x: x == s))))
+            share = most.cast("double") / F.size(t["words"])
             return F.struct(t["label"].alias("label"), F.when(F.size(starts) > 0, share).otherwise(F.lit(0.0)).alias("score"))
 
         tried = F.transform(wanted, lambda t: let(_places(h, t["key"]), lambda starts: scored(t, starts)))
-        return F.filter(tried, lambda m: m["score"] >= MIN_COVERAGE)
+        return F.filter(tried, lambda m: m["score"] > 0)
 
     none = "array<struct<start:bigint,label:string>>", "array<struct<label:string,score:double>>"
     some = F.size("hits") > 0

@@ -64,22 +64,21 @@ FROM t LEFT JOIN a USING (doc_id) LEFT JOIN z USING (doc_id)
 
 
 def _op8() -> str:
-    """Every phrase is searched at every word; templates are scored at their key phrases' starts."""
+    """Every phrase is searched at every word; a template's score is the best of its key phrase's starts."""
     base = " UNION ALL ".join(f"SELECT {_quoted(p)} AS phrase, {_quoted(label)} AS label" for p, label in license.BASE.items())
     rows = []
     for n, (label, wording, key) in enumerate(license.TEMPLATES):
-        words, k = wording.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-        rows.append(f"SELECT {n} AS n, {_quoted(label)} AS label, {_quoted(key)} AS phrase, {at} AS at_, {words!r} AS words")
+        words, phrase = license.compared(wording, key)
+        lists = [[w for w, _ in words], [i for _, i in words], [w for w, _ in phrase], [i for _, i in phrase]]
+        rows.append(f"SELECT {n} AS n, {_quoted(label)} AS label, {lists[0]!r} AS words, {lists[1]!r} AS places, {lists[2]!r} AS kwords, {lists[3]!r} AS kplaces")
+    same = "list_sum(list_transform(list_zip({words}, {places}), lambda z: CASE WHEN s + z[2] >= 1 AND w[s + z[2]] = z[1] THEN 1 ELSE 0 END))"
     return f"""
 WITH d AS (SELECT doc_id, {_folded('text')} AS w FROM documents), base AS ({base}), tmpl AS ({' UNION ALL '.join(rows)}),
 pos AS (SELECT doc_id, w, i, w[i] AS x FROM d, unnest(generate_series(1, len(w))) g(i)),
-phrases AS (SELECT phrase, string_split(phrase, ' ') AS ps FROM (SELECT phrase FROM base UNION SELECT phrase FROM tmpl)),
-found AS (SELECT doc_id, i - 1 AS start, phrase FROM pos JOIN phrases ON x = ps[1] WHERE list_slice(w, i, i + len(ps) - 1) = ps),
-places AS (SELECT doc_id, start, label FROM found JOIN base USING (phrase)),
-per AS (SELECT f.doc_id, n, label, avg(CAST((SELECT count(*) FROM unnest(generate_series(1, len(words))) h(j) WHERE f.start - at_ + j >= 1 AND d.w[f.start - at_ + j] = words[j]) AS DOUBLE) / len(words)) AS score
-    FROM found f JOIN tmpl USING (phrase) JOIN d ON d.doc_id = f.doc_id GROUP BY 1, 2, 3),
-ok AS (SELECT * FROM per WHERE score >= {license.MIN_COVERAGE}),
+places AS (SELECT doc_id, i - 1 AS start, label FROM pos JOIN (SELECT *, string_split(phrase, ' ') AS ps FROM base) ON x = ps[1] WHERE list_slice(w, i, i + len(ps) - 1) = ps),
+met AS (SELECT doc_id, w, tmpl.*, i - kplaces[1] AS s FROM pos JOIN tmpl ON x = kwords[1]),
+full_ AS (SELECT * FROM met WHERE {same.format(words='kwords', places='kplaces')} = len(kwords)),
+ok AS (SELECT doc_id, n, label, max(CAST({same.format(words='words', places='places')} AS DOUBLE) / len(words)) AS score FROM full_ GROUP BY 1, 2, 3),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM ok) GROUP BY 1),
 s AS (SELECT doc_id, max(score) AS score FROM ok GROUP BY 1)

@@ -130,16 +130,18 @@ def brute_license(text):
     for label, wording, key in license.TEMPLATES:
         t, k = wording.split(), key.split()
         at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
-        starts = [i - at for i in range(len(words)) if words[i : i + len(k)] == k]
-        if starts:
-            same = sum(0 <= s + j < len(words) and words[s + j] == w for s in starts for j, w in enumerate(t))
-            if same / (len(t) * len(starts)) >= license.MIN_COVERAGE:
-                found[label] = max(found.get(label, 0), same / (len(t) * len(starts)))
+        plain = [j for j, w in enumerate(t) if w not in license.FUNCTION_WORDS]
+        for s in range(-len(t), len(words)):
+            same = [j for j in plain if 0 <= s + j < len(words) and words[s + j] == t[j]]
+            if all(j in same for j in plain if at <= j < at + len(k)):
+                found[label] = max(found.get(label, 0), len(same) / len(plain))
     score = 1.0 if places else max(found.values(), default=0.0)
     return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), ",".join(sorted({x for _, x in places} | set(found))), score
 
 
-LICENSE_TEXTS = ["", None, "CC-BY 4.0, cc by", "ccby cc, by all Rights reserved.", "Released under the MIT License.", "MIT license", "GNU LESSER General Public License", "Licensed under CC BY-NC 4.0.", "K rights reserved all rights", "É all rights reserved", "Permission is hereby granted, free of charge, to any person", "license " * 3000]
+LICENSE_TEXTS = ["", None, "CC-BY 4.0, cc by", "ccby cc, by all Rights reserved.", "Released under the MIT License.", "MIT license", "GNU LESSER General Public License", "Licensed under CC BY-NC 4.0.", "K rights reserved all rights", "É all rights reserved", "Permission is hereby granted, free of charge, to any person", "license " * 3000,
+    "Released under the MIT License. " + "see the MIT license " * 10, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "Redistribution or use in source or binary forms", "free software foundation, either version 3"]
 
 
 def test_license_equals_brute_force(spark):
@@ -150,5 +152,8 @@ def test_license_equals_brute_force(spark):
         n, n_base, _, _, base, labels, _ = brute_license(LICENSE_TEXTS[r.doc_id])
         assert (r.n_words, len(r.base_places)) == (n, n_base)
         assert ",".join(sorted({p.label for p in r.base_places} | {m.label for m in r.matches})) == labels
+    best = {r.doc_id: {m.label: m.score for m in r.matches} for r in found.collect()}
+    full = LICENSE_TEXTS.index(next(t for t in LICENSE_TEXTS if t and "see the MIT" in t))
+    assert best[full] == {"mit": 1.0} and best[full + 1]["mit"] > 0.3 and 0 < best[5]["mit"] < 1
     assert license.scan(frame(spark, ["a"]).limit(0)).count() == 0
     assert license.scan(frame(spark, ["MIT License"]).withColumn("hits", F.lit(1))).count() == 1
