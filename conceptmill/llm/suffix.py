@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import string_chunks
@@ -88,12 +88,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, digest, run): a run packs its first start, its length and whether it can repeat itself."""
+    """(anchor, first_key, nth, run): a run packs its first start, its length and whether it can repeat itself."""
     for batch in batches:
         for part, data, offsets in string_chunks(batch, "text", STEP_BYTES):
             text, anchor, first, last, many = anchors(data, offsets)
             run = first << 9 | (last - first) << 2 | many
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column(0).take(pa.array(text)), pa.array(run)], names=["anchor", "digest", "run"])
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column(0).take(at), part.column(1).take(at), pa.array(run)], names=["anchor", "first_key", "nth", "run"])
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             continue
         rows = batch if held is None else pa.concat_batches([held, batch])
         anchor = rows.column(0).to_numpy()
-        again = (rows.column(2).to_numpy() & 3) > 1
+        again = (rows.column(3).to_numpy() & 3) > 1
         same = anchor[1:] == anchor[:-1]
         again[1:] |= same
         again[:-1] |= same
@@ -116,12 +117,12 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "first_key", "digest", "first", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    names = ["anchor", "first_key", "nth", "first", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         for row in batch.to_pylist():
             raw = row["text"].encode()
-            out = [(r["anchor"], row["first_key"], row["digest"], r["run"] >> 9, raw[r["run"] >> 9 : (r["run"] >> 9) + (r["run"] >> 2 & 127) + LENGTH]) for r in row["runs"]]
+            out = [(r["anchor"], row["first_key"], row["nth"], r["run"] >> 9, raw[r["run"] >> 9 : (r["run"] >> 9) + (r["run"] >> 2 & 127) + LENGTH]) for r in row["runs"]]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -129,49 +130,49 @@ class _Block:
     """Runs of whole anchors: those equal to an earlier run are answered at once, the others are suffix-sorted."""
 
     def __init__(self) -> None:
-        self.fresh: list[tuple[bytes, int, bytes]] = []
+        self.fresh: list[tuple[int, int, int, bytes]] = []
         self.seen: set[bytes] = set()
         self.size = 0
-        self.out: list[tuple[bytes, int, int]] = []
+        self.out: list[tuple[int, int, int, int]] = []
 
-    def add(self, digest: bytes, first: int, raw: bytes) -> None:
+    def add(self, key: int, nth: int, first: int, raw: bytes) -> None:
         if raw in self.seen:
-            self.out.append((digest, first, first + len(raw)))
+            self.out.append((key, nth, first, first + len(raw)))
         else:
             self.seen.add(raw)
-            self.fresh.append((digest, first, raw))
+            self.fresh.append((key, nth, first, raw))
             self.size += len(raw)
 
     def sort(self) -> None:
-        data = np.frombuffer(b"".join(r[2] for r in self.fresh), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in self.fresh]))).astype(np.int64)
+        data = np.frombuffer(b"".join(r[3] for r in self.fresh), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in self.fresh]))).astype(np.int64)
         hit = np.flatnonzero(repeated(data, offsets, LENGTH))
         if len(hit):
             row = np.searchsorted(offsets, hit, "right") - 1
             cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row) > 0))
             begin, end, row = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], row[np.append(0, cut + 1)]
             for r, a, b, base in zip(row.tolist(), begin.tolist(), end.tolist(), offsets[row].tolist(), strict=True):
-                digest, first, _ = self.fresh[r]
-                self.out.append((digest, first + a - base, first + b - base + LENGTH))
+                key, nth, first, _ = self.fresh[r]
+                self.out.append((key, nth, first + a - base, first + b - base + LENGTH))
         self.fresh, self.seen, self.size = [], set(), 0
 
     def take(self) -> pa.RecordBatch:
-        columns = [*zip(*self.out, strict=True)] or [(), (), ()]
+        columns = [*zip(*self.out, strict=True)] or [(), (), (), ()]
         self.out = []
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["p_key", "p_nth", "start", "stop"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges of strings met before; rows come sorted by anchor, first key, digest and place."""
+    """Byte ranges of strings met before; rows come sorted by anchor, first key, nth and place."""
     block, last = _Block(), None
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in (0, 2, 3, 4)]
-        for anchor, digest, first, raw in zip(*columns, strict=True):
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        for anchor, key, nth, first, raw in zip(*columns, strict=True):
             if last is not None and anchor != last[0] and block.size >= BLOCK_BYTES:
                 block.sort()
-            if (anchor, digest, first) != last:  # a repeated row is the same document
-                block.add(digest, first, raw)
-            last = anchor, digest, first
+            if (anchor, key, nth, first) != last:  # a repeated row is the same document
+                block.add(key, nth, first, raw)
+            last = anchor, key, nth, first
         yield block.take()
     block.sort()
     yield block.take()
@@ -206,28 +207,30 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     A byte is removed if a string of LENGTH bytes over it also starts earlier: in a smaller key,
     or earlier in the same text. Null and short texts lose nothing. A text equal to one with a
-    smaller key is removed whole; rows that repeat key and text are one document with one result
-    each; a null key sorts before all others; one key over several texts orders them by MD5 digest.
+    smaller key is removed whole; equality is that of SHA-256 digests. Rows that repeat key and text
+    are one document with one result each; a null key sorts before all others; one key over several
+    texts orders them by digest. An empty table gives an empty table; other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     order_key = F.coalesce("key", F.lit(-(2**63)))
-    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    # A distinct text is named by its smallest key and its place among the texts that share it: 12 bytes, mostly zeros.
     firsts = rows.groupBy("digest").agg(F.min(order_key).alias("first_key"))
-    ties = lambda side, name: side.withColumnRenamed("digest", name)
+    firsts = firsts.select(F.col("digest").alias("f_digest"), "first_key", (F.row_number().over(Window.partitionBy("first_key").orderBy("digest")) - 1).alias("nth"))
     # Every use of the texts joins them by digest with a small side, over one and the same exchange.
-    whole = rows.join(ties(firsts, "f_digest").hint("merge"), F.col("digest") == F.col("f_digest"))
+    whole = rows.join(firsts.hint("merge"), F.col("digest") == F.col("f_digest"))
     # Not an equation: as one it would become a join key and ask for an exchange of its own.
     texts = whole.filter(order_key <= F.col("first_key"))
-    found = texts.select("digest", "text").mapInArrow(_anchor_rows, "anchor long, digest binary, run long")
+    found = texts.select("first_key", "nth", "text").mapInArrow(_anchor_rows, "anchor long, first_key long, nth int, run long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     again = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated_anchors, found.schema)
-    runs = again.groupBy(F.col("digest").alias("r_digest")).agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
-    wanted = runs.join(firsts, F.col("r_digest") == F.col("digest")).drop("digest")
+    runs = again.groupBy(F.col("first_key").alias("r_key"), F.col("nth").alias("r_nth")).agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    wanted = runs.join(firsts, (F.col("r_key") == F.col("first_key")) & (F.col("r_nth") == F.col("nth"))).select(F.col("f_digest").alias("r_digest"), "first_key", "nth", "runs")
     held = rows.join(wanted.hint("merge"), F.col("digest") == F.col("r_digest")).filter(order_key <= F.col("first_key"))
-    contexts = held.select("digest", "text", "first_key", "runs").mapInArrow(_context_rows, "anchor long, first_key long, digest binary, first long, bytes binary")
-    ranges = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "first_key", "digest", "first").mapInArrow(_repeats, "digest binary, start long, stop long")
-    per_text = ranges.groupBy(F.col("digest").alias("p_digest")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    small = ties(firsts, "f_digest").join(per_text, F.col("f_digest") == F.col("p_digest"), "left").select("f_digest", "first_key", "ranges")
+    contexts = held.select("text", "first_key", "nth", "runs").mapInArrow(_context_rows, "anchor long, first_key long, nth int, first long, bytes binary")
+    ranges = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "first_key", "nth", "first").mapInArrow(_repeats, "p_key long, p_nth int, start long, stop long")
+    per_text = ranges.groupBy("p_key", "p_nth").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    small = firsts.join(per_text, (F.col("first_key") == F.col("p_key")) & (F.col("nth") == F.col("p_nth")), "left").select("f_digest", "first_key", "ranges")
     marked = rows.join(small.hint("merge"), F.col("digest") == F.col("f_digest"))
     out = marked.select("key", "text", "ranges", (order_key > F.col("first_key")).alias("copy")).mapInArrow(_removals, "key long, n_bytes long, removed array<struct<start:long,stop:long>>, kept_sha256 string")
     return out.withColumnRenamed("key", key)

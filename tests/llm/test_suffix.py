@@ -7,7 +7,7 @@ from conceptmill.llm import queries, suffix
 
 def brute(docs):
     met, out, whole = set(), {}, {}
-    for key, text in sorted(set(docs), key=lambda d: (d[0], hashlib.md5((d[1] or "").encode()).digest())):
+    for key, text in sorted(set(docs), key=lambda d: (d[0], hashlib.sha256((d[1] or "").encode()).digest())):
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for i in range(len(raw) - 99):
@@ -36,6 +36,9 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(AWKWARD, SCHEMA)
     assert digest(suffix.repeats(df)) == brute([(r[0], r[1]) for r in AWKWARD])
     assert digest(suffix.repeats(df.limit(0))) == []
+    odd = spark.createDataFrame([(None, "n" * 150, 1, 2), (1, "n" * 150, 1, 2), (1, "m" * 120 + "n" * 130, 1, 2), (1, "z" * 99, 1, 2), (1, "z" * 99, 1, 2)], "doc_id long, text string, digest int, first_key int")
+    got = {(r[0], r[1]): r[2] for r in digest(suffix.repeats(odd))}
+    assert got == {(None, 150): 149, (1, 150): 150, (1, 250): 249, (1, 99): 0}
     passage = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
     docs = [(1, "x" + passage + "y"), (2, passage[:99]), (3, "ab" + passage[:100]), (4, passage + passage), (5, "é" * 80), (6, "zé" * 30 + "é" * 80)]
     assert digest(suffix.repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
