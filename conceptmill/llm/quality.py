@@ -44,13 +44,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside windows that occur twice or more; windows are compared by a 64-bit hash."""
+    """Words inside windows that occur twice or more. Texts whose windows all hash differently have none;
+    in others the windows are sorted by hash and words, and neighbours compared by their words."""
     last = F.size(words) - WINDOW
     hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    window = lambda i: F.slice(words, i + 1, WINDOW)
 
     def marked(h: Column) -> Column:
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        near = lambda s, x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), window(i).alias("w"), i.alias("p"))))
+        near = lambda s, x, i: F.coalesce((F.get(s, i)["h"] == x["h"]) & (F.get(s, i)["w"] == x["w"]), F.lit(False))
         places = let(order, lambda s: F.filter(F.transform(s, lambda x, i: F.when(near(s, x, i - 1) | near(s, x, i + 1), x["p"]).otherwise(-1)), lambda p: p >= 0))
         first = F.struct(F.lit(-WINDOW).alias("at"), F.lit(0).cast("long").alias("n"))
         step = lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(p - a["at"], F.lit(WINDOW))).alias("n"))
@@ -176,14 +178,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Rules from at most TRAIN_ROWS labelled documents (label 0: reject), the lowest by a hash of the key.
 
     Null keys and null labels teach nothing; a key labelled twice counts once, as its lower label;
-    no labels, or labels of one kind, give an empty list.
+    of rows that repeat a key one teaches, the least by its statistics; no labels, or labels of one kind, give an empty list.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("l_key")).agg(F.min(label).alias("l_label"))
     sample = marked.orderBy(F.xxhash64("l_key"), "l_key").limit(TRAIN_ROWS)
     # The sample has TRAIN_ROWS rows of 16 bytes at most, so it is always small enough to broadcast.
     picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("k") == F.col("l_key"))
-    stats = statistics(picked, "t").select("k", (F.col("l_label") == 0).alias("bad"), F.pmod(F.xxhash64(F.col("k"), F.lit("part")), F.lit(3)).alias("part"), *[F.expr(e).alias(f) for f, e in FEATURES.items()])
-    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: (r["k"], r["log_words"]))
+    part = F.pmod(F.xxhash64(F.col("k"), F.lit("part")), F.lit(3)).alias("part")
+    stats = statistics(picked, "t").select("k", (F.col("l_label") == 0).alias("bad"), part, *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+    # A key may repeat in docs; its least row teaches, so what comes to the driver stays TRAIN_ROWS rows.
+    least = stats.groupBy("k").agg(F.min(F.struct(*FEATURES, "bad", "part")).alias("r")).select("k", "r.*")
+    rows = sorted((r.asDict() for r in least.collect()), key=lambda r: r["k"])
     return cover(rows)
 
 
@@ -196,7 +201,12 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """Add the counts, base_failed, rule (the first that rejects, or null) and kept."""
+    """Add the counts, base_failed, rule (the first that rejects, or null) and kept.
+
+    Null and empty texts have no words and fail the base rule; repeated rows are judged alike; an
+    empty list of rules leaves the base rule alone; clashing columns are replaced; texts of any
+    length are judged whole.
+    """
     found = statistics(without(docs, "base_failed", "rule", "kept"), text)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

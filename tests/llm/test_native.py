@@ -93,11 +93,40 @@ def test_quality_statistics(spark):
     assert rows(quality.statistics(df).select("doc_id", *cols)) == sorted(((r[0], *brute_statistics(r[1])) for r in AWKWARD), key=repr)
     texts = ["a b c d e a b c d e f", "x a b c d e y a b c d e a b c d e", "a a a a a a", "$$ # \n\n x\n x\nx", "a\n b \na\na"]
     assert rows(quality.statistics(frame(spark, texts)).select("doc_id", *cols)) == [(i, *brute_statistics(t)) for i, t in enumerate(texts)]
-    got = [r[:6] for r in rows(queries.op2_quality(spark, SF).select("doc_id", *cols))]
+    out = queries.op2_quality(spark, SF).select("doc_id", *cols, "base_failed", "kept", "rule")
+    for r in out.collect():
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert r.kept == (not r.base_failed and r.rule is None)
+    got = [r[:6] for r in rows(out.select("doc_id", *cols))]
     assert got == sorted(((k, *brute_statistics(t)) for k, t in docs_of(spark)), key=repr)
     assert quality.statistics(df.withColumn("N_WORDS", F.lit(1)).limit(0)).count() == 0
 
 
+def brute_verdicts(rules, docs):
+    """The decision list applied in plain Python to statistics counted in plain Python."""
+    out = []
+    for key, text in docs:
+        text = text or ""
+        n, chars, symbols, dup, repeat = brute_statistics(text)
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        per = max(n, 1)
+        row = {
+            "symbol_share": symbols / per, "repeat_share": repeat / per, "dup_line_share": dup / max(len(lines), 1), "mean_word": chars / per,
+            "upper_share": len(re.findall("[A-Z]", text)) / max(chars, 1), "mark_share": len(re.findall("[!?]", text)) / per, "digit_share": len(re.findall("[0-9]", text)) / max(chars, 1),
+            "distinct_share": len(set(re.findall("[^\x20\x09-\x0d]+", text))) / per, "log_words": math.log2(1 + n),
+        }
+        fires = any(all(c.holds(row) for c in rule) for rule in rules)
+        out.append((key if key is not None else -1, n >= 10 and 100 * repeat <= 20 * n and not fires))
+    return out
+
+
+def test_verdicts_of_the_query_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = sorted((r.doc_id, r.kept) for r in queries.op2_quality(spark, SF).collect())
+    assert got == sorted(brute_verdicts(rules, docs_of(spark)))
+
+
 def test_quality_rules_are_learned_and_emitted(spark):
     import random
 
@@ -117,6 +146,10 @@ def test_quality_rules_are_learned_and_emitted(spark):
     assert rules
     got = {r.doc_id: r.kept for r in quality.judge(docs, rules).collect()}
     assert got == {i: i % 4 != 0 for i in range(200)}
+    again = docs.union(docs).union(spark.createDataFrame([(0, "one # # #"), (None, None)], docs.schema))
+    assert quality.learn(again, labels) == rules
+    judged = brute_verdicts(rules, [(r.doc_id, r.text) for r in again.collect()])
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.kept) for r in quality.judge(again, rules).collect()) == sorted(judged)
     assert quality.learn(docs, labels.limit(0)) == [] and quality.judge(docs, []).filter("kept = base_failed").count() == 0
 
 
