@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from .common import string_chunks, without
 from .decontam import Lookup, Words
 
-#: Labelled rows of each kind in the training sample, and the longest text drawn into it.
+#: Labelled rows of each kind in the training sample, and the characters that a longer text teaches with:
+#: a window at a place that a hash of the key chooses. Together they bound what comes to the driver.
 TRAIN_ROWS = 500
-TRAIN_BYTES = 8_000
+TRAIN_CHARS = 8_000
 #: A trigger word explains this many otherwise unexplained toxic documents, and is in clean ones
 #: at most at this fraction of its rate in toxic ones.
 MIN_GAIN, MAX_CLEAN = 5, 0.05
@@ -185,11 +186,13 @@ def _triggers(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field | None:
     """Fit on at most TRAIN_ROWS toxic and TRAIN_ROWS clean labelled rows of docs; None without both kinds.
 
-    Rows are drawn by a hash of the key; texts over TRAIN_BYTES are not drawn. A key labelled
-    twice counts once, as its higher label; null keys, labels and texts teach nothing.
+    Rows are drawn by a hash of the key; texts over TRAIN_CHARS teach with a window of that length. A
+    key labelled twice counts once, as its higher label; of rows that repeat a key one teaches, the
+    least by its window; null keys and labels, null and empty texts teach nothing.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("l_key")).agg(F.max(label).alias("l_label"))
-    eligible = docs.filter(F.octet_length(text).between(1, TRAIN_BYTES)).select(F.col(key).alias("key"), F.xxhash64(key).alias("h"))
+    full = docs.filter(F.octet_length(text) > 0)
+    eligible = full.select(F.col(key).alias("key"), F.xxhash64(key).alias("h")).distinct()
     kinds = eligible.join(marked, F.col("key") == F.col("l_key")).select("key", "l_label", "h")
     drawn = None
     for kind in (kinds.filter("l_label >= 1"), kinds.filter("l_label = 0")):
@@ -197,7 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         drawn = part if drawn is None else drawn.union(part)
     # 2 * TRAIN_ROWS rows of 16 bytes at most: always small enough to broadcast.
     picked = drawn.select(F.col("key").alias("d_key"), "l_label").distinct()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text").between(1, TRAIN_BYTES)).join(F.broadcast(picked), F.col("key") == F.col("d_key")).select("key", "text", "l_label").collect()
+    start = F.pmod(F.xxhash64("key", F.lit("window")), F.length("text") - TRAIN_CHARS + 1).cast("int") + 1
+    window = F.when(F.length("text") > TRAIN_CHARS, F.substring("text", start, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    chosen = full.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("key") == F.col("d_key"))
+    rows = chosen.select("key", "l_label", window.alias("text")).groupBy("key").agg(F.min("text").alias("text"), F.max("l_label").alias("l_label")).collect()
     rows.sort(key=lambda r: (r["key"], r["text"]))
     if len({r["l_label"] >= 1 for r in rows}) < 2:
         return None

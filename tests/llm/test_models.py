@@ -172,6 +172,33 @@ def test_toxicity_learns_and_marks_spans(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_held_out_documents(spark):
+    labels = spark.read.parquet(f"{SF1}/labels.parquet").select("doc_id", "toxic")
+    got = queries.op4_toxicity(spark, SF1).join(labels, "doc_id").collect()
+    out = [r for r in got if r.held_out and r.toxic is not None]
+    assert len(out) > 50 and all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    toxic, clean = [r for r in out if r.toxic], [r for r in out if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    ranks = sorted(out, key=lambda r: r.score)
+    above = sum(k for k, r in enumerate(ranks) if r.toxic) - len(toxic) * (len(toxic) - 1) / 2
+    assert above >= 0.95 * len(toxic) * len(clean)  # the area under the curve
+
+
+def test_toxicity_is_learned_from_long_texts_and_repeated_keys(spark):
+    rng = random.Random(5)
+    rows_ = []
+    for i in range(200):
+        words = [f"word{rng.randrange(300)}" for _ in range(3000)]
+        if i % 2:
+            words = [w if k % 40 else "vileword" for k, w in enumerate(words)]
+        rows_.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows_ + rows_[:20] + [(0, "another text of a key"), (None, "vileword")], "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "a vileword b"), (2, "word1 word2"), (3, "word7 " * 400_000 + "vileword")], "doc_id long, text string"), model).collect()}
+    assert got[1] >= 0.3 > got[2] and got[3] >= 0.3
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
