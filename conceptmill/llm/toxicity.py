@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     start = F.pmod(F.xxhash64("key", F.lit("window")), F.length("text") - TRAIN_CHARS + 1).cast("int") + 1
     window = F.when(F.length("text") > TRAIN_CHARS, F.substring("text", start, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
     chosen = full.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("key") == F.col("d_key"))
-    rows = chosen.select("key", "l_label", window.alias("text")).groupBy("key").agg(F.min("text").alias("text"), F.max("l_label").alias("l_label")).collect()
+    rows = chosen.select("key", "l_label", window.alias("text"), (F.length("text") > TRAIN_CHARS).alias("cut")).groupBy("key").agg(F.min(F.struct("text", "cut")).alias("t"), F.max("l_label").alias("l_label")).select("key", "t.*", "l_label").collect()
     rows.sort(key=lambda r: (r["key"], r["text"]))
     if len({r["l_label"] >= 1 for r in rows}) < 2:
         return None
@@ -229,7 +229,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     _fit(model, places, tags, first)
     heavy = np.abs(model.weights) > 1e-3
     model.words, model.weights = model.words[heavy], model.weights[heavy]
-    model.calibration = _logistic(summaries(model.marginals(model.emissions(features), first), words.bounds), toxic)
+    # A toxic text's window may miss what is toxic in it; without a tag it says nothing about scores.
+    tagged = np.concatenate(([0], np.cumsum(tags)))[words.bounds]
+    told = ~np.array([r["cut"] for r in rows]) | ~toxic | (np.diff(tagged) > 0)
+    seen = summaries(model.marginals(model.emissions(features), first), words.bounds)
+    model.calibration = _logistic(seen[told], toxic[told])
     return model
 
 
