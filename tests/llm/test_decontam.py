@@ -46,14 +46,44 @@ def digest(df):
 ITEMS = [(1, "Same text, here!"), (2, ""), (3, None), (4, "word " * 12), (5, "text here again and"), (6, "ÉÑ é漢字"), (7, "Same text, here!"), (10, "one")]
 
 
-def test_awkward_rows_and_blocks(spark, monkeypatch):
+def test_awkward_rows(spark, monkeypatch):
     df = spark.createDataFrame(AWKWARD, SCHEMA)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute([(r[0], r[1]) for r in AWKWARD], ITEMS)
     assert digest(decontam.find_overlap(df, bench)) == want
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     assert digest(decontam.find_overlap(df, bench)) == want
     assert digest(decontam.find_overlap(df.limit(0), bench)) == []
     assert all(not r[-1] for r in digest(decontam.find_overlap(df, bench.limit(0))))
-    clash = df.selectExpr("*", "1 as n_words", "'x' as hit_items")
-    assert digest(decontam.find_overlap(clash, bench)) == want
+    clash = df.selectExpr("*", "1 as n_words", "'x' as hit_items", "2 as word", "3 as start", "4 as `row`", "5 as n")
+    out = decontam.find_overlap(clash, bench)
+    assert digest(out) == want and out.columns == [*SCHEMA_NAMES, "word", "start", "row", "n", "n_words", "hit_spans", "hit_items"]
+
+
+SCHEMA_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_null_keys_long_texts_and_a_hot_window(spark):
+    passage = "the quick brown fox jumps over the lazy dog today"
+    filler = " ".join(f"w{i % 5000}" for i in range(250_000))  # over a step's bytes
+    docs = [(None, passage), (1, filler + " " + passage + " " + filler), (2, passage.replace("fox", "cat")), *[(k, f"x{k} {passage} y") for k in range(3, 300)]]
+    items = [(1, "so " + passage), (None, passage), (2, passage + " " + passage)]
+    got = digest(decontam.find_overlap(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, [("None" if k is None else k, t) for k, t in items])
+
+
+def test_two_passes_for_any_benchmark(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = [(k, f"text number {k} of some that hold words like w{k} and {k * k}") for k in range(50)]
+    for size in (3, 400):
+        df = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+        items = [(k, f"item {k} number {k} of some that hold words like w{k} and {k * k} " + "more " * k) for k in range(size)]
+        before = read.value
+        assert digest(decontam.find_overlap(df, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
+        assert read.value - before == 2 * len(docs)
