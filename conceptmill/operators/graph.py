@@ -151,24 +151,36 @@ def is_acyclic(g: Graph) -> bool:
 
 
 def cycles(g: Graph, limit: int = 3) -> list[list[str]]:
-    """Up to ``limit`` cycles, found by walking inside the cyclic core only."""
+    """Up to ``limit`` cycles, those of the least nodes; none if and only if there is no cycle.
+
+    Every node of the cyclic core points to its least successor there. By pointer doubling each
+    learns where its walk ends up, and the least node on the way; ends are nodes of cycles, and
+    nodes with one least node on the way are one cycle. Only the wanted cycles come to the driver.
+    """
     core = cyclic_core(g.prerequisites)
-    found: list[list[str]] = []
-    seen: set[str] = set()
-    for first in [r.source for r in core.select("source").distinct().orderBy("source").limit(64).collect()]:
-        if len(found) >= limit:
-            break
-        walk, at = [], first
-        while at not in walk and at not in seen:
-            walk.append(at)
-            follow = core.filter(F.col("source") == at).agg(F.min("target")).first()[0]
-            if follow is None:
-                break
-            at = follow
-        if at in walk:
-            found.append(walk[walk.index(at) :])
-        seen |= set(walk)
-    return found
+    # Ends of the core without a successor inside it were peeled, so every node has one.
+    step = cut(core.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("next")))
+    nodes = step.count()
+    if not nodes:
+        return []
+    jump = step.select("id", F.col("next").alias("end"), F.least("id", "next").alias("least"))
+    width = 1
+    while width < nodes:
+        far = jump.select(F.col("id").alias("far"), F.col("end").alias("far_end"), F.col("least").alias("far_least"))
+        jump = cut(jump.join(far, F.col("end") == F.col("far")).select("id", F.col("far_end").alias("end"), F.least("least", "far_least").alias("least")))
+        width *= 2
+    ends = jump.select(F.col("end").alias("on")).distinct()
+    on = jump.join(ends, F.col("id") == F.col("on"), "left_semi").select("id", "least")
+    wanted = on.select(F.col("least").alias("first")).distinct().orderBy("first").limit(limit)
+    rows = on.join(wanted, F.col("least") == F.col("first"), "left_semi").join(step, "id").collect()
+    follow = {r["id"]: r["next"] for r in rows}
+    out = []
+    for first in sorted({r["least"] for r in rows}):
+        walk = [first]
+        while follow[walk[-1]] != first:
+            walk.append(follow[walk[-1]])
+        out.append(walk)
+    return out
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,9 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from conceptmill.checkpoints import checkpointed
 
 DIM = 512
 TOKEN = "[\\x{4E00}-\\x{9FFF}]+|[a-z0-9]+"
@@ -42,11 +48,17 @@ def term_weights(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
     return terms.groupBy(key, bucket(F.col("token"), dim).alias("idx")).agg(F.sum(sign(F.col("token")) * (1 + F.ln("tf"))).alias("weight"))
 
 
+def unit_weights(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, idx, value): the cells of the vector of length 1 that some token fills; a sum of zero stays zero."""
+    w = term_weights(df, key, text, dim)
+    norm = w.groupBy(F.col(key).alias("_key")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return w.join(norm, F.col(key) == F.col("_key")).select(key, "idx", F.coalesce(F.try_divide("weight", "norm"), F.lit(0.0)).alias("value"))
+
+
 def embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, vector array<float>): dense, of length 1; the zero vector for texts without tokens."""
-    w = term_weights(df, key, text, dim)
-    sparse = w.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.nullif("norm", F.lit(0.0)), F.lit(0.0)).cast("float"))
+    sparse = unit_weights(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
     return df.select(key).join(sparse, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(unit).alias("vector"))
 
 
@@ -84,20 +96,66 @@ def topk(index: DataFrame, query: Column, k: int, vector: str = "vector", ident:
     return index.select(ident, "ord", sim).orderBy(F.desc("sim"), "ord").limit(k).filter("sim > 0")
 
 
+#: Queries that are scored together: so many vectors are broadcast at once, in passes until all are done.
+QUERY_BLOCK = 4096
+#: Similarities that a task holds at once, and blocks that one plan unites.
+HELD_CELLS, PLAN_BLOCKS = 1 << 22, 16
+
+
+def _best(k: int, parts: list[tuple]) -> tuple:
+    """Of (query, sim, ord, id) entries the first k of each query: by similarity, then order."""
+    query, sim, place, ident = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, -sim, query))
+    query, sim, place, ident = query[order], sim[order], place[order], ident[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return tuple(x[rank < k] for x in (query, sim, place, ident))
+
+
+def _block_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Per task, the best k entries of each query of one block; similarities are rounded to 12 decimals, so that ties are ties."""
+    rows = queries.select("qid", "qvec").collect()
+    ids = pa.array([r["qid"] for r in rows], to_arrow_type(queries.schema["qid"].dataType))
+    wanted = np.array([r["qvec"] for r in rows], float).reshape(len(rows), -1)
+    shared = index.sparkSession.sparkContext.broadcast((ids, wanted))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, ord long, sim double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))]
+        for batch in batches:
+            for low in range(0, batch.num_rows if len(q) else 0, max(1, HELD_CELLS // len(q))):
+                part = batch.slice(low, max(1, HELD_CELLS // len(q)))
+                v = np.array(part.column(2).to_pylist(), float)
+                sims = np.round(v @ q.T, 12)
+                least = np.maximum(np.partition(sims, -min(k, len(v)), axis=0)[-min(k, len(v))], np.nextafter(0, 1))
+                row, query = np.nonzero(sims >= least)
+                place = part.column(1).to_numpy(zero_copy_only=False)
+                ident = np.array(part.column(0).to_pylist(), object)
+                held = [_best(k, [*held, (query, sims[row, query], place[row], ident[row])])]
+        query, sim, place, ident = held[0]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ident.tolist(), id_kind), pa.array(place), pa.array(sim)], names=["qid", "id", "ord", "sim"])
+
+    id_kind = to_arrow_type(index.schema["id"].dataType)
+    return index.select("id", F.col("ord").cast("long").alias("ord"), "vector").mapInArrow(run, kinds)
+
+
 def topk_join(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, sim, rank) for a small set of queries (qid, qvec): scored in one pass over the index.
+    """(qid, id, sim, rank) for any number of queries (qid, qvec): the k nearest entries of positive similarity.
 
-    The queries are held to MAX_QUERIES by their count before they are broadcast.
+    Queries are dealt into blocks by a hash; a block is scored in one pass over the index, every task
+    keeps k entries a query, and the tasks' entries merge by query. Ties go by order. A repeated qid
+    counts once.
     """
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; score at most {MAX_QUERIES} at once")
-    pairs = index.join(F.broadcast(queries), F.lit(True)).select("qid", "id", "ord", dot(F.col("vector"), F.col("qvec")).alias("sim"))
+    each = queries.dropDuplicates(["qid"])
+    blocks = -(-max(each.count(), 1) // QUERY_BLOCK)
+    done = None
+    for b in range(blocks):
+        found = _block_topk(index, each.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k)
+        done = found if done is None else done.unionByName(found)
+        if b % PLAN_BLOCKS == PLAN_BLOCKS - 1:
+            done = checkpointed(done)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "ord")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(f"rank <= {k} and sim > 0").select("qid", "id", F.round("sim", 4).alias("sim"), "rank")
-
-
-MAX_QUERIES = 10_000
+    return done.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "id", "sim", "rank")
 
 
 def max_pool(index: DataFrame, queries: list[Column], k: int) -> DataFrame:
@@ -113,11 +171,15 @@ def centroid(vectors: DataFrame) -> DataFrame:
     return whole.select(F.transform("c", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))).alias("centroid"))
 
 
-def feedback(index: DataFrame, queries: list[Column], k: int, weight: float = 0.4, seeds: int = 3) -> DataFrame:
-    """Max-pooled hits, boosted by the centroid of the first hits' vectors; the first hit stays first, unboosted."""
+def feedback(index: DataFrame, queries: list[Column], k: int, weight: float = 0.4, seeds: int = 3, names: DataFrame | None = None) -> DataFrame:
+    """Max-pooled hits, boosted by the centroid of the first hits; the first hit stays first, unboosted.
+
+    ``names`` (id, vector) has the vectors that the centroid is made of, those of the entries' names;
+    without it the entries' own vectors are.
+    """
     first = max_pool(index, queries, k)
     lead = first.orderBy(F.desc("sim"), "ord").limit(seeds)
-    mean = centroid(index.join(F.broadcast(lead.select("id")), "id", "left_semi"))
+    mean = centroid((index if names is None else names).join(F.broadcast(lead.select("id")), "id", "left_semi"))
     pooled = max_pool_all(index, queries)
     boosted = pooled.join(F.broadcast(mean)).select("id", "ord", (F.col("sim") + weight * dot(F.col("vector"), F.col("centroid"))).alias("sim"))
     pinned = first.orderBy(F.desc("sim"), "ord").limit(1).withColumn("pin", F.lit(0))

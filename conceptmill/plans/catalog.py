@@ -239,7 +239,7 @@ def _index(spark, d):
 @query(f"SELECT a.vec_id AS qid, b.vec_id AS id, round({SIM}, 4) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND ({SIM}) > 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.vec_id) <= 10")
 def cosine_topk(spark, d):
     index = _index(spark, d)
-    return V.topk_join(index, index.filter("ord % 20 = 0").select(F.col("ord").alias("qid"), F.col("vector").alias("qvec")), 10).select("qid", F.col("id").cast("long").alias("id"), "sim")
+    return V.topk_join(index, index.filter("ord % 20 = 0").select(F.col("ord").alias("qid"), F.col("vector").alias("qvec")), 10).select("qid", F.col("id").cast("long").alias("id"), F.round("sim", 4).alias("sim"))
 
 
 @query(f"SELECT b.vec_id AS id, round(max({SIM}), 4) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 3 GROUP BY 1 HAVING max({SIM}) > 0 ORDER BY max({SIM}) DESC, b.vec_id LIMIT 12")

@@ -92,3 +92,11 @@ def test_display_helpers(graph):
     assert {(r.type, r.idx, r.n) for r in G.parallel_edges(graph).filter("source = 'b' and target = 'd'").collect()} == {("prerequisite_of", 0, 2), ("related_to", 1, 2)}
     assert {(r.source, r.target) for r in G.facets(graph, ["math"], [P]).collect()} == {("a", "b"), ("a", "c")}
     assert {(r.kind, r.value): r.n for r in G.stats(graph).filter("kind = 'total'").collect()} == {("total", "nodes"): 7, ("total", "edges"): 8, ("total", "roots"): 1, ("total", "isolated"): 1}
+
+
+def test_cycles_beyond_the_first_nodes(spark):
+    """A long chain into a cycle of late nodes, and two more cycles."""
+    names = [f"n{i:03}" for i in range(150)]
+    chain = [(a, b, P, 1.0) for a, b in zip(names, names[1:], strict=False)] + [("n149", "n120", P, 1.0), ("y", "z", P, 1.0), ("z", "y", P, 1.0), ("s", "s", P, 1.0)]
+    g = G.Graph(make_nodes(spark, [(n, n, 1, "d", []) for n in [*names, "s", "y", "z"]]), make_edges(spark, chain))
+    assert G.cycles(g) == [names[120:], ["s"], ["y", "z"]] and G.cycles(g, 1) == [names[120:]]

@@ -68,3 +68,25 @@ def test_compare(spark, graph, one):
     contexts = spark.createDataFrame([("n", 1, "d"), ("n", 2, "a"), ("g", 1, "d"), ("g", 1, "b"), ("g", 1, "a"), ("g", 2, "x")], "mode string, qid int, id string")
     got = {r["mode"]: (r.golden_hit, r.coverage, r.mastered_ratio, r.mean_size) for r in R.compare(contexts, golden, graph.prerequisites, one).collect()}
     assert got == {"n": (0.5, 0.5, 0.5, 1.0), "g": (1.0, 0.833, 0.167, 2.0)}
+
+
+def test_topk_join_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vectors = [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)] for _ in range(120)]
+    ix = spark.createDataFrame([(str(i), i, v) for i, v in enumerate(vectors)], "id string, ord long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 120, 2)] * 2, "qid long, qvec array<double>")
+    want = {}
+    for q in range(0, 120, 2):
+        sims = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors))
+        want[q] = [(str(i), r + 1) for r, (s, i) in enumerate(sims[:5]) if s < 0]
+    for block, cells, blocks in ((4096, 1 << 22, 16), (7, 50, 2)):
+        monkeypatch.setattr(V, "QUERY_BLOCK", block)
+        monkeypatch.setattr(V, "HELD_CELLS", cells)
+        monkeypatch.setattr(V, "PLAN_BLOCKS", blocks)
+        got = {}
+        for r in V.topk_join(ix, asked, 5).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.id, r["rank"]))
+        assert got == {q: x for q, x in want.items() if x}
+    assert V.topk_join(ix, asked.limit(0), 5).count() == 0 and V.topk_join(ix.limit(0), asked, 5).count() == 0
