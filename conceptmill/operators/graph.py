@@ -16,6 +16,10 @@ from conceptmill.checkpoints import checkpointed as cut
 from conceptmill.functions import scalar as S
 
 PREREQUISITE = "prerequisite_of"
+#: Source references of nodes and edges.
+REFS = "array<struct<document:string,chunk_id:string,section:string,chunk_sha256:string,quote:string,quote_verified:boolean>>"
+#: Degree from which a label is shown.
+LABEL_DEGREE = 5
 
 
 @dataclass
@@ -52,6 +56,29 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source") == F.col("_id"), "left_anti").unionByName(edges.join(ids, F.col("target") == F.col("_id"), "left_anti")).distinct()
 
 
+def node(g: Graph, node_id: str) -> DataFrame:
+    """The node of an identifier; no row if there is none."""
+    return g.nodes.filter(F.col("id") == node_id)
+
+
+def find_shown(g: Graph, keyword: str) -> DataFrame:
+    """The display's search: the first node whose lower-case name, or whose id as it is, contains the lower-case keyword."""
+    k = keyword.strip().lower()
+    return g.nodes.filter(F.lit(k != "") & (F.contains(F.lower("name"), F.lit(k)) | F.contains("id", F.lit(k)))).orderBy("ord").limit(1)
+
+
+def shown_labels(g: Graph, least: int = LABEL_DEGREE) -> DataFrame:
+    """(id, degree): nodes whose label is shown, those that so many edge ends touch."""
+    ends = g.edges.select(F.col("source").alias("id")).union(g.edges.select("target"))
+    return ends.groupBy("id").agg(F.count("*").alias("degree")).filter(F.col("degree") >= least)
+
+
+def target_list(g: Graph) -> DataFrame:
+    """(domain, place, id, name): the choice of targets, domains in order, names in order within each."""
+    w = Window.partitionBy("domain").orderBy("name", "id")
+    return g.nodes.select("domain", (F.row_number().over(w) - 1).alias("place"), "id", "name")
+
+
 def find(g: Graph, keyword: str) -> DataFrame:
     return g.nodes.filter(S.mentions(keyword, F.col("id"), F.col("name"), F.col("aliases"))).orderBy("ord")
 

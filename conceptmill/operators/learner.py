@@ -43,6 +43,22 @@ def band_profile(nodes: DataFrame, one: DataFrame) -> DataFrame:
     return dim.join(counts, "band", "left").select("band", "color", "place", F.coalesce("n", F.lit(0)).alias("n"), "avg_mastery")
 
 
+def profile(nodes: DataFrame, one: DataFrame) -> DataFrame:
+    """(band, n, ids, total, touched, avg_mastery): every band with its nodes in order, and the totals of all of them."""
+    m = with_mastery(nodes, one).withColumn("band", S.band(F.col("mastery")))
+    bands = m.groupBy("band").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"]).alias("ids"))
+    touched = F.when(F.col("mastery") > 0, F.col("mastery"))
+    total = m.agg(F.count("*").alias("total"), F.count(touched).alias("touched"), F.coalesce(F.round(F.round(F.avg(touched), 8), 3), F.lit(0.0)).alias("avg_mastery"))
+    dim = nodes.sparkSession.createDataFrame([(b,) for b in S.BANDS], "band string")
+    full = dim.join(bands, "band", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return full.join(F.broadcast(total)).select("band", F.size("ids").alias("n"), "ids", "total", "touched", "avg_mastery")
+
+
+def recorded_average(states: DataFrame, as_of: str) -> DataFrame:
+    """(user_id, recorded, average): what is on record for each learner, and its mean mastery on a day."""
+    return mastery(states, as_of).groupBy("user_id").agg(F.count("*").alias("recorded"), F.avg("mastery").alias("average"))
+
+
 def domain_overview(nodes: DataFrame, one: DataFrame) -> DataFrame:
     m = with_mastery(nodes, one)
     touched = F.when(F.col("mastery") > 0, F.col("mastery"))

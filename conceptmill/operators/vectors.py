@@ -115,7 +115,7 @@ def _block_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Per task, the best k entries of each query of one block; similarities are rounded to 12 decimals, so that ties are ties."""
     rows = queries.select("qid", "qvec").collect()
     ids = pa.array([r["qid"] for r in rows], to_arrow_type(queries.schema["qid"].dataType))
-    wanted = np.array([r["qvec"] for r in rows], float).reshape(len(rows), -1)
+    wanted = np.array([r["qvec"] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
     shared = index.sparkSession.sparkContext.broadcast((ids, wanted))
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, ord long, sim double"
 
@@ -123,8 +123,9 @@ def _block_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         names, q = shared.value
         held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))]
         for batch in batches:
-            for low in range(0, batch.num_rows if len(q) else 0, max(1, HELD_CELLS // len(q))):
-                part = batch.slice(low, max(1, HELD_CELLS // len(q)))
+            step = max(1, HELD_CELLS // max(1, len(q)))
+            for low in range(0, batch.num_rows if len(q) else 0, step):
+                part = batch.slice(low, step)
                 v = np.array(part.column(2).to_pylist(), float)
                 sims = np.round(v @ q.T, 12)
                 least = np.maximum(np.partition(sims, -min(k, len(v)), axis=0)[-min(k, len(v))], np.nextafter(0, 1))

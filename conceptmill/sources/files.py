@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptmill.functions import scalar as S
-from conceptmill.operators.graph import Graph, styled
+from conceptmill.operators.graph import REFS, Graph, isolated, roots, styled
 from conceptmill.operators.learner import with_mastery
 from conceptmill.operators.text import note_sections
 
-REFS = "array<struct<document:string,chunk_id:string,section:string,chunk_sha256:string,quote:string,quote_verified:boolean>>"
 NODES = f"ord long, id string, name string, type string, domain string, desc string, difficulty int, aliases array<string>, evidence_refs {REFS}"
 EDGES = f"ord long, source string, target string, type string, confidence double, note string, evidence_refs {REFS}"
 EVIDENCE = "array<struct<type:string,desc:string,weight:double,ts:string,revoked:boolean>>"
@@ -173,6 +172,30 @@ def read_eval(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, r["query"], r["golden"]) for i, r in enumerate(rows)], "qid int, query string, golden array<string>")
 
 
+NOTE_KINDS = (".docx", ".md", ".markdown", ".txt")
+
+
+def resolve_inputs(paths: list[str]) -> tuple[list[str], list[str]]:
+    """(files, missing paths): folders give their notes, sorted, without dot-files; files stay as they are."""
+    found, missing = [], []
+    for path in paths:
+        if os.path.isdir(path):
+            found += sorted(str(f) for f in Path(path).rglob("*") if f.suffix.lower() in NOTE_KINDS and not f.name.startswith("."))
+        elif os.path.isfile(path):
+            found.append(path)
+        else:
+            missing.append(path)
+    return found, missing
+
+
+def write_staged(payload: dict, folder: str, stem: str) -> str:
+    """A payload for review in the staging folder, which is made; the path written."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{stem}_triples.json")
+    _replace(path, json.dumps(payload, ensure_ascii=False, indent=2))
+    return path
+
+
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq, title, breadcrumb, level, text, error) of every note under a path, dot-files left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -196,3 +219,11 @@ def web_payload(g: Graph, one: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = with_mastery(g.nodes, one).withColumn("band", S.band(F.col("mastery"))).withColumn("color", S.band_color(F.col("band")))
     cols = ["id", "name", "type", "domain", "desc", "difficulty", "mastery", "band", "color"]
     return m.orderBy("ord").select(F.to_json(F.struct(*cols)).alias("json")), styled(g.edges).select(F.to_json(F.struct("source", "target", "type", F.col("link_id").alias("id"), "color", "dash", "width")).alias("json"))
+
+
+def web_meta(g: Graph, one: DataFrame) -> DataFrame:
+    """One row of the display's figures: nodes, edges, domains, roots, isolated nodes, mean mastery over all nodes."""
+    m = with_mastery(g.nodes, one).agg(F.count("*").alias("nodes"), F.countDistinct("domain").alias("domains"), F.coalesce(F.avg("mastery"), F.lit(0.0)).alias("mean_mastery"))
+    for name, df in (("edges", g.edges), ("roots", roots(g)), ("isolated", isolated(g))):
+        m = m.join(F.broadcast(df.agg(F.count("*").alias(name))))
+    return m.select("nodes", "edges", "domains", "roots", "isolated", F.round("mean_mastery", 6).alias("mean_mastery"))
