@@ -10,14 +10,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conceptmill.functions import scalar as S
 
+from . import ingest as I
+from .graph import REFS
+from .suggest import candidates
 from .text import LOCATION, parse_object
 
 QUOTE_CHARS, KNOWN_ALIASES = 240, 3
-REF = T.StructType([T.StructField(n, T.StringType()) for n in ("document", "chunk_id", "section", "chunk_sha256", "quote")] + [T.StructField("quote_verified", T.BooleanType())])
 
 
 def known_lines(nodes: DataFrame) -> list[str]:
@@ -95,10 +96,71 @@ def extract(chunks: DataFrame, make_client: Callable[[], object], known: list[st
     return wanted.select("document", "idx", "chunk").mapInPandas(run, "document string, chunk_id string, payload string, error string")
 
 
-def suggest(candidates: list[dict], client, max_edges: int = 10) -> list[dict]:
-    """Prerequisite edges a model proposes for candidates; a missing confidence is .6, the reason is the note."""
+_NODE = "id string, name string, type string, domain string, desc string, difficulty int, aliases array<string>"
+_EDGE = "source string, target string, type string, confidence double, note string"
+
+
+def payloads(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of extract's rows, merged over all chunks, with references; failed chunks give none.
+
+    Chunks count in the order of document and chunk number; missing types, difficulties and
+    confidences get the defaults of a payload.
+    """
+    schema = f"nodes array<struct<{_as_fields(_NODE)},evidence_refs:{REFS}>>, relations array<struct<{_as_fields(_EDGE)},evidence_refs:{REFS}>>"
+    read = extracted.filter("payload is not null").select("document", "chunk_id", F.from_json("payload", schema).alias("p"))
+    # An item's place is its document, chunk and position, as one sortable text.
+    place = lambda c: F.concat_ws("/", "document", "chunk_id", F.lpad(F.col(c).cast("string"), 6, "0")).alias("ord")
+    nodes = read.select("document", "chunk_id", F.posexplode("p.nodes").alias("at", "x")).select(place("at"), "x.*")
+    nodes = nodes.withColumn("type", F.coalesce("type", F.lit("Concept"))).withColumn("difficulty", F.coalesce("difficulty", F.lit(3)))
+    edges = read.select("document", "chunk_id", F.posexplode("p.relations").alias("at", "x")).select(place("at"), "x.*")
+    edges = edges.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("note", F.coalesce("note", F.lit("")))
+    return _numbered(I.merge_chunk_nodes(nodes).join(_refs(nodes, ["id"]), "id")), _numbered(_merged_edges(edges))
+
+
+def _as_fields(ddl: str) -> str:
+    return ",".join(f.strip().replace(" ", ":", 1) for f in ddl.split(", "))
+
+
+def _refs(rows: DataFrame, key: list[str]) -> DataFrame:
+    return I.with_refs(rows).groupBy(*key).agg(I.united_refs(I.gathered()).alias("evidence_refs"))
+
+
+def _merged_edges(rows: DataFrame) -> DataFrame:
+    """One edge per key regardless of case: the most confident row's values, the first on a tie, all references."""
+    keyed = I.with_refs(rows).withColumns({"k_source": S.normalized(F.col("source")), "k_target": S.normalized(F.col("target"))})
+    value = F.struct("source", "target", "confidence", "note")
+    return keyed.groupBy("k_source", "k_target", "type").agg(F.min("ord").alias("place"), F.min_by(value, F.struct(-F.col("confidence"), "ord")).alias("b"), I.united_refs(I.gathered()).alias("evidence_refs")).select(F.col("place").alias("ord"), "b.source", "b.target", "type", "b.confidence", "b.note", "evidence_refs")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Text places as increasing numbers, over range partitions instead of one task."""
+    return rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("ord", F.monotonically_increasing_id())
+
+
+def prompt_nodes(g, candidates: DataFrame) -> DataFrame:
+    """The nodes that a prompt about candidates names: those of the candidates' domains, so that it does not grow with the graph."""
+    return g.nodes.join(candidates.select("domain").distinct(), "domain", "left_semi").select("id", "name", "domain")
+
+
+def suggest(candidates: list[dict], client, max_edges: int = 10, known: set[str] | None = None) -> list[dict]:
+    """Prerequisite edges a model proposes for candidates; a missing confidence is .6, the reason is the note.
+
+    With ``known`` identifiers, edges that name others, and loops, are left out.
+    """
     reply = parse_object(client.complete("Propose missing prerequisites as {\"edges\": [{\"source\", \"target\", \"confidence\", \"reason\"}]}.\n" + "\n".join(json.dumps(c, ensure_ascii=False) for c in candidates)))
-    return [{"source": e["source"], "target": e["target"], "type": e.get("type", "prerequisite_of"), "confidence": float(e.get("confidence", 0.6)), "note": e.get("reason", "")} for e in (reply.get("edges") or [])[:max_edges] if e.get("source") and e.get("target")]
+    found = [e for e in reply.get("edges") or [] if isinstance(e, dict) and e.get("source") and e.get("target")]
+    if known is not None:
+        found = [e for e in found if {e["source"], e["target"]} <= known and e["source"] != e["target"]]
+    return [{"source": e["source"], "target": e["target"], "type": e.get("type", "prerequisite_of"), "confidence": float(e.get("confidence", 0.6)), "note": e.get("reason", "")} for e in found[:max_edges]]
+
+
+def suggest_prerequisites(g, client, limit: int = 12, max_edges: int = 10) -> tuple[dict, dict]:
+    """(payload, figures): a model's edges for the candidates of the graph, ready for review and ingestion."""
+    rows = candidates(g, limit)
+    asked = [{**r.asDict(), "mentioned_ids": list(r["mentioned_ids"])} for r in rows.drop("ord").collect()]  # ``limit`` rows
+    ids = {r["id"] for r in prompt_nodes(g, rows).select("id").collect()} | {i for a in asked for i in a["mentioned_ids"]}
+    edges = suggest(asked, client, max_edges, ids)
+    return {"source": "llm_prerequisite_suggestion", "nodes": [], "relations": edges}, {"candidates": len(asked), "suggested": len(edges)}
 
 
 def _score(x) -> float:
@@ -109,11 +171,16 @@ def _score(x) -> float:
 
 
 def judge_answer(client, question: str, context: str, golden: list[str]) -> dict:
-    """Answer from the context, have it judged; scores are clamped, unreadable verdicts score 0."""
+    """Answer from the context, have it judged; scores are clamped, unreadable verdicts and empty contexts score 0.
+
+    Coverage is the share of golden names that the answer contains; without golden names it is 1.
+    """
+    if not context:
+        return {"answer": "", "faithfulness": 0.0, "relevancy": 0.0, "golden_coverage": 0.0}
     answer = client.complete(f"Answer from the context only.\n{context}\n\nQuestion: {question}")
     try:
         verdict = parse_object(client.complete(f"Judge as {{\"faithfulness\", \"relevancy\"}} from 0 to 1.\nContext: {context}\nQuestion: {question}\nAnswer: {answer}"))
     except ValueError:
         verdict = {}
-    covered = sum(g in answer for g in golden) / len(golden) if golden else 0.0
+    covered = sum(g in answer for g in golden) / len(golden) if golden else 1.0
     return {"answer": answer, "faithfulness": _score(verdict.get("faithfulness")), "relevancy": _score(verdict.get("relevancy")), "golden_coverage": round(covered, 3)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,9 @@ from conceptmill.operators import graph as G
 from conceptmill.operators import learner as L
 from conceptmill.operators import paths as P
 from conceptmill.operators import retrieval as R
-from conceptmill.operators import vectors as V
+from conceptmill.operators.embedders import HashEmbedder
+
+from . import index as X
 
 
 @dataclass
@@ -23,6 +25,8 @@ class Session:
     states: DataFrame
     as_of: str
     user_id: str = "me"
+    embedder: object = None
+    _index: X.Index | None = field(default=None, repr=False)
 
     @property
     def one(self) -> DataFrame:
@@ -104,13 +108,16 @@ class Session:
         return {"id": found, "mastery": self.one.filter(F.col("concept_id") == found).first()["mastery"]}
 
     def search_knowledge(self, query: str, mode: str = "local", max_context: int = 12, communities: DataFrame | None = None) -> dict:
-        """Any mode but "global" is local; global search takes summarized communities (id, ord, members, hubs, summary)."""
-        if mode == "global" and communities is not None:
-            index = V.embed(communities, "id", "summary").join(communities.select("id", "ord"), "id")
-            hits = R.global_search(index, communities, query)
+        """Any mode but "global" is local; the index is built once and again only when graph, mastery or embedder changed."""
+        embedder = self.embedder or HashEmbedder()
+        if self._index is None or self._index.signature != X.signature(self.graph, self.one, embedder):
+            made = X.build(self.graph, self.one, embedder)
+            self._index = X.Index(G.cut(made.nodes), G.cut(made.communities), made.signature)
+        if mode == "global":
+            told = self._index.communities if communities is None else communities
+            vectors = told if "vector" in told.columns else embedder.embed(told, "id", "summary").join(told, "id")
+            hits = R.global_search(vectors.select("id", "ord", "vector"), told.drop("vector"), query, embedder=embedder)
             return {"mode": "global", "nodes": [r.asDict() for r in hits.orderBy(F.desc("sim"), "place").collect()]}
-        text = V.node_text(self.graph.nodes)
-        index = V.embed(text, "id", "text").join(text.select("id", "ord"), "id")
-        context = G.cut(R.search(self.graph, index, query, self.one, max_context=max(3, min(max_context, 25))))
+        context = G.cut(R.search(self.graph, self._index.nodes, query, self.one, embedder=embedder, names=self._index.names, max_context=max(3, min(max_context, 25))))
         rows = [r.asDict() for r in context.orderBy("place").collect()]
         return {"mode": "local", "nodes": rows, "context_text": R.rendered(context).first()["context_text"] if rows else ""}
