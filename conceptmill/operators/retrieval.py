@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conceptmill.functions import scalar as S
 
 from . import vectors as V
-from .graph import Graph, ancestors
+from .graph import Graph, ancestors, cut
 from .embedders import HashEmbedder
 from .learner import with_mastery
 from .text import parse_object
@@ -133,6 +133,28 @@ def global_search(index: DataFrame, communities: DataFrame, query: str, top_k: i
     return found.select(F.col("member").alias("id"), F.concat(F.lit("community:"), "id").alias("role"), "place", F.round("sim", 4).alias("sim"), F.array_contains("hubs", F.col("member")).alias("hub"))
 
 
+def batch_contexts(g: Graph, index: DataFrame, queries: DataFrame, one: DataFrame, naive_k: int = 6, top_k: int = TOP_K, max_context: int = 6) -> DataFrame:
+    """(mode, qid, id) for many queries (qid, qvec) at once: the nearest entries, and seeds with their expansions.
+
+    The same rules as local_search without feedback, as joins and windows per query.
+    """
+    near = cut(V.topk_join(index, queries, max(naive_k, top_k)).join(g.nodes.select("id"), "id", "left_semi"))
+    naive = near.filter(F.col("rank") <= naive_k).select(F.lit("naive").alias("mode"), "qid", "id")
+    seed = near.withColumn("seed_rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).filter(F.col("seed_rank") < top_k).select("qid", "id", "seed_rank")
+    mine = seed.select("qid", "id")
+    up = g.prerequisites.select("source", F.col("target").alias("id")).distinct().join(seed, "id").groupBy("qid", F.col("source").alias("id")).agg(F.min("seed_rank").alias("seed_rank"))
+    up = with_mastery(up.join(mine, ["qid", "id"], "left_anti").join(g.nodes.select("id", "difficulty"), "id"), one)
+    order = Window.partitionBy("qid")
+    first = up.withColumn("inner", F.row_number().over(order.orderBy("seed_rank", "mastery", "difficulty", "id"))).select("qid", "id", F.lit(1).alias("tier"), "inner")
+    both = g.edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(g.edges.select("target", "source"))
+    fill = both.join(seed, "id").groupBy("qid", F.col("other").alias("id")).agg(F.min(F.col("seed_rank").cast("string")).alias("seed_text"))
+    fill = with_mastery(fill.join(mine, ["qid", "id"], "left_anti").join(first.select("qid", "id"), ["qid", "id"], "left_anti").join(g.nodes.select("id"), "id"), one)
+    rest = fill.withColumn("inner", F.row_number().over(order.orderBy("mastery", "seed_text", "id"))).select("qid", "id", F.lit(2).alias("tier"), "inner")
+    ranked = seed.select("qid", "id", F.lit(0).alias("tier"), F.col("seed_rank").alias("inner")).unionByName(first).unionByName(rest)
+    ranked = ranked.withColumn("place", F.row_number().over(order.orderBy("tier", "inner", "id")))
+    return naive.unionByName(ranked.filter((F.col("tier") == 0) | (F.col("place") <= max_context)).select(F.lit("graph").alias("mode"), "qid", "id"))
+
+
 def compare(contexts: DataFrame, golden: DataFrame, edges: DataFrame, one: DataFrame) -> DataFrame:
     """Per mode: hit rate, 2-hop prerequisite coverage, mastered share and mean size.
 

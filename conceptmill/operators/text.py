@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from conceptmill.functions import scalar as S
 
 # Heading and fence patterns, separator, least chunk size, room kept beside a prefix.
 HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
@@ -190,3 +193,33 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, seq int, title string, breadcrumb string, level int, text string")
+
+
+#: Characters of the grams under which quotes without a whole word inside are looked up.
+GRAM = 3
+
+
+def quotes_in(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """(key, item, quote) for every document(key, text) that contains an item(item, q), by exact text.
+
+    An inner word of an item is a whole word of a text that contains it. Items are listed under the
+    inner word that the fewest documents have, texts send the distinct words that are listed, and
+    what meets is verified. Items without an inner word are listed under their first characters.
+    Empty and null items are in no text.
+    """
+    wanted = items.filter(F.length("q") > 0).select(F.col(item), "q")
+    inner = F.array_except(F.slice(F.split("q", "[^A-Za-z0-9]+"), F.lit(2), F.greatest(F.size(F.split("q", "[^A-Za-z0-9]+")) - 2, F.lit(0))), F.array(F.lit("")))
+    worded = wanted.withColumn("inner", F.array_distinct(inner))
+    words = worded.select(item, "q", F.explode("inner").alias("word"))
+    listed = words.select("word").distinct()
+    sent = docs.select(F.col(key), F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9]+"))).alias("word")).join(listed, "word", "left_semi")
+    spread = sent.groupBy(F.col("word").alias("counted")).agg(F.count("*").alias("n"))
+    rarest = words.join(spread, F.col("word") == F.col("counted")).groupBy(item, "q").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    pairs = sent.join(rarest, "word").select(key, item, "q")
+    short = worded.filter(F.size("inner") == 0).select(item, "q", F.substring("q", 1, GRAM).alias("word"))
+    if not short.isEmpty():
+        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring("text", i, n))))
+        cut = docs.filter(F.length("text") > 0).select(key, F.explode(F.array_distinct(grams)).alias("word")).join(short.select("word").distinct(), "word", "left_semi")
+        pairs = pairs.unionByName(cut.join(short, "word").select(key, item, "q"))
+    met = pairs.distinct().join(docs.select(F.col(key), "text").distinct(), key)
+    return met.withColumn("quote", S.verified_quote(F.col("q"), F.col("text"))).filter("quote != ''").select(key, item, "quote").distinct()

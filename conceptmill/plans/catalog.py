@@ -6,6 +6,7 @@ iterative or sequential, and are held to brute force in the tests.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from conceptmill.operators import retrieval as R
 from conceptmill.operators import suggest as SG
 from conceptmill.operators import text as X
 from conceptmill.operators import vectors as V
+from conceptmill.sources import files as X2
 
 from . import derived as D
 
@@ -161,16 +163,10 @@ def ancestor_closure(spark, d):
     return G.ancestors(D.graph(spark, d).prerequisites)
 
 
-TARGETS = "ord % 97 = 5"
-
-
-def _targets(spark, d):
-    return D.nodes(spark, d).filter(TARGETS).select("id")
-
-
-@query(D.with_views("nodes", "up") + f"SELECT id, ancestor, hop FROM closure WHERE id IN (SELECT id FROM nodes WHERE {TARGETS})")
+@query(D.with_views("nodes", "up") + "SELECT id, max(hop) AS depth, count(*) AS ancestors FROM closure WHERE id IN (SELECT id FROM nodes) GROUP BY 1")
 def target_depth(spark, d):
-    return G.ancestors(D.graph(spark, d).prerequisites, _targets(spark, d))
+    up = G.ancestors(D.graph(spark, d).prerequisites, D.nodes(spark, d).select("id"))
+    return up.groupBy("id").agg(F.max("hop").alias("depth"), F.count("*").alias("ancestors"))
 
 
 @query(D.with_views("up") + "SELECT count(*) FILTER (id = ancestor) = 0 AS acyclic, count(*) FILTER (id = ancestor) AS core_edges FROM closure")
@@ -178,19 +174,11 @@ def acyclic_check(spark, d):
     return G.cyclic_core(D.graph(spark, d).prerequisites).agg(F.count("*").alias("core_edges")).select((F.col("core_edges") == 0).alias("acyclic"), "core_edges")
 
 
-@query(D.with_views("nodes", "one", "up") + f""", t AS (SELECT id FROM nodes WHERE {TARGETS}), a AS (SELECT t.id, c.ancestor, coalesce(mastery, 0) AS m FROM t JOIN closure c ON t.id = c.id LEFT JOIN one ON one.id = c.ancestor),
-    c2 AS (SELECT id, count(*) FILTER (m < 0.35) AS gaps, count(*) FILTER (m >= 0.35 AND m < 0.5) AS reviews, count(*) AS total FROM a GROUP BY 1),
-    r AS (SELECT id, coalesce(gaps, 0) AS gaps, coalesce(reviews, 0) AS reviews, coalesce(total, 0) AS total FROM t LEFT JOIN c2 USING (id))
-    SELECT *, CASE WHEN gaps > 0 THEN 'not_ready' WHEN reviews > 0 THEN 'needs_review' ELSE 'ready' END AS verdict FROM r""")
-def readiness(spark, d):
-    return P.readiness(D.graph(spark, d), D.one(spark, d), _targets(spark, d))
-
-
 @query(D.with_views("nodes", "one", "up") + """, a AS (SELECT nodes.id, c.ancestor, coalesce(mastery, 0) AS m FROM nodes JOIN closure c ON nodes.id = c.id LEFT JOIN one ON one.id = c.ancestor),
     c2 AS (SELECT id, count(*) FILTER (m < 0.35) AS gaps, count(*) FILTER (m >= 0.35 AND m < 0.5) AS reviews, count(*) AS total FROM a GROUP BY 1),
     r AS (SELECT id, coalesce(gaps, 0) AS gaps, coalesce(reviews, 0) AS reviews, coalesce(total, 0) AS total FROM nodes LEFT JOIN c2 USING (id))
     SELECT *, CASE WHEN gaps > 0 THEN 'not_ready' WHEN reviews > 0 THEN 'needs_review' ELSE 'ready' END AS verdict FROM r""")
-def readiness_all(spark, d):
+def readiness(spark, d):
     return P.readiness(D.graph(spark, d), D.one(spark, d), D.nodes(spark, d).select("id"))
 
 
@@ -199,18 +187,19 @@ def learning_path(spark, d):
     return P.learning_paths(D.graph(spark, d), D.one(spark, d), D.nodes(spark, d).select("id"))
 
 
-@query(D.with_views("nodes", "one", "up") + f""", s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes WHERE {TARGETS}) UNION SELECT id, id FROM nodes WHERE {TARGETS}),
+@query(D.with_views("nodes", "one", "up") + """, s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes) UNION SELECT id, id FROM nodes),
     k AS (SELECT s.target, s.id, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
-    SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count FROM k GROUP BY 1""")
+    SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count, coalesce(string_agg(id, ',' ORDER BY id) FILTER (m < 0.35), '') AS gaps FROM k GROUP BY 1""")
 def path_counters(spark, d):
-    return P.path_counters(P.learning_paths(D.graph(spark, d), D.one(spark, d), _targets(spark, d))).drop("gaps")
+    return P.path_counters(learning_path(spark, d)).withColumn("gaps", F.array_join(F.array_sort(F.split("gaps", ",")), ","))
 
 
-@query(D.with_views("nodes", "one", "up") + """, s AS (SELECT id AS target, ancestor AS id FROM closure WHERE id IN (SELECT id FROM nodes) UNION SELECT id, id FROM nodes),
-    k AS (SELECT s.target, s.id, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
-    SELECT target, count(*) AS total, count(*) FILTER (m < 0.35) AS gap_count, count(*) FILTER (m >= 0.85) AS known_count FROM k GROUP BY 1""")
-def path_counters_all(spark, d):
-    return P.path_counters(learning_path(spark, d)).drop("gaps")
+@query(D.with_views("nodes", "one", "up") + """, s AS (SELECT id AS target, ancestor AS id, hop AS depth FROM closure WHERE id IN (SELECT id FROM nodes) AND id <> ancestor UNION ALL SELECT id, id, 0 FROM nodes),
+    k AS (SELECT s.*, coalesce(mastery, 0) AS m FROM s LEFT JOIN one USING (id))
+    SELECT target, count(*) AS steps, sum(depth) AS depths, round(sum(m), 4) AS mastery FROM k WHERE m < 0.85 OR id = target GROUP BY 1""")
+def open_path(spark, d):
+    path = P.learning_paths(D.graph(spark, d), D.one(spark, d), D.nodes(spark, d).select("id"), include_known=False)
+    return path.groupBy("target").agg((F.max("place") + 1).cast("long").alias("steps"), F.sum("depth").alias("depths"), F.round(F.sum("mastery"), 4).alias("mastery"))
 
 
 @query(D.with_views("nodes", "prereq") + "SELECT id, count(*) AS unlocks FROM prereq JOIN nodes ON source = id WHERE source NOT IN (SELECT target FROM prereq) GROUP BY 1 ORDER BY unlocks DESC, id LIMIT 12")
@@ -224,7 +213,7 @@ def gap_candidates(spark, d):
 def comention(spark, d):
     part = D.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
     later = part.select((F.col("ord") - 3).alias("ord"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("desc"))
-    return SG.mentions(part.join(later, "ord", "left").withColumn("id", F.col("ord")))
+    return SG.mentions(part.join(later, "ord", "left").withColumn("id", F.col("ord"))).drop("place")
 
 
 SIM = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
@@ -249,7 +238,15 @@ def maxpool_hits(spark, d):
     return V.max_pool(index, picked, 12).select(F.col("ord").alias("id"), F.round("sim", 4).alias("sim"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+    base AS (SELECT b.id, any_value(b.v) AS v, max(list_inner_product(a.v, b.v)) AS sim FROM v a, v b WHERE a.id < 2 GROUP BY 1),
+    first AS (SELECT id, v, sim FROM base WHERE sim > 0 ORDER BY sim DESC, id LIMIT 3),
+    c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS x FROM first, unnest(generate_series(1, len(v))) g(i) GROUP BY 1)),
+    u AS (SELECT list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS c FROM c),
+    pin AS (SELECT id, sim FROM first ORDER BY sim DESC, id LIMIT 1),
+    other AS (SELECT id, sim + 0.4 * list_inner_product(v, u.c) AS sim FROM base, u WHERE id NOT IN (SELECT id FROM pin)),
+    every AS (SELECT id, sim, 0 AS p FROM pin UNION ALL SELECT id, sim, 1 FROM other)
+    SELECT id, round(sim, 4) AS sim FROM (SELECT * FROM every ORDER BY p, sim DESC, id LIMIT 12) WHERE sim > 0""")
 def feedback_hits(spark, d):
     index = _index(spark, d)
     picked = [V.query_column(r.vector) for r in index.filter("ord < 2").orderBy("ord").collect()]
@@ -271,7 +268,7 @@ def hash_tokens(spark, d):
 
 @query(f"WITH {TOKENS}, w AS (SELECT id, idx, sum(sgn * (1 + ln(tf))) AS w FROM h GROUP BY ALL), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT id, idx, round(w / norm, 4) AS value FROM w JOIN n USING (id) WHERE round(w / norm, 4) <> 0")
 def hash_embed(spark, d):
-    return V.embed(_texts(spark, d), "id", "text").select("id", F.posexplode("vector").alias("idx", "x")).select("id", "idx", F.round(F.col("x").cast("double"), 4).alias("value")).filter("value != 0")
+    return V.unit_weights(_texts(spark, d), "id", "text").select("id", "idx", F.round("value", 4).alias("value")).filter("value != 0")
 
 
 SEEDS = "seed AS (SELECT * FROM (VALUES ('30', 0), ('77', 1), ('190', 2)) t(id, seed_rank))"
@@ -295,7 +292,16 @@ def fill_expansion(spark, d):
     return R.fill_expansion(D.graph(spark, d), s, s.select("id"), D.one(spark, d)).select("id", "seed_text", "confusable", "mastery", "place")
 
 
-@query()
+@query(D.with_views("nodes", "edges", "one") + f""", seed AS (SELECT * FROM (VALUES ('30', 0, 0.9), ('77', 1, 0.8), ('190', 2, 0.7)) t(id, seed_rank, sim) WHERE id IN (SELECT id FROM nodes)),
+    x AS (SELECT source AS id, min(seed_rank) AS seed_rank FROM prereq JOIN seed ON target = seed.id WHERE source NOT IN (SELECT id FROM seed) GROUP BY 1),
+    pre AS (SELECT id, row_number() OVER (ORDER BY seed_rank, coalesce(mastery, 0), difficulty, id) AS place FROM x JOIN nodes USING (id) LEFT JOIN one USING (id)),
+    b AS (SELECT source AS near, target AS id, type FROM edges UNION ALL SELECT target, source, type FROM edges),
+    y AS (SELECT b.id, min(CAST(seed_rank AS VARCHAR)) AS seed_text, bool_or(type = 'confusable_with') AS confusable FROM b JOIN seed ON near = seed.id WHERE b.id NOT IN (SELECT id FROM seed) AND b.id NOT IN (SELECT id FROM pre) GROUP BY 1),
+    fill AS (SELECT id, confusable, row_number() OVER (ORDER BY coalesce(mastery, 0), seed_text, id) AS place FROM y JOIN nodes USING (id) LEFT JOIN one USING (id)),
+    every AS (SELECT id, 'seed' AS role, 0 AS tier, seed_rank AS p FROM seed UNION ALL SELECT id, 'prerequisite', 1, place FROM pre UNION ALL SELECT id, CASE WHEN confusable THEN 'confusable' ELSE 'neighbor' END, 2, place FROM fill),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY tier, p, id) - 1 AS place FROM every), {KNOWN}
+    SELECT place, r.id, name, role, domain, descr AS "desc", difficulty, round(m, 3) AS mastery, {BAND_SQL} AS band, round(coalesce(sim, 0), 4) AS sim, round(sim * (1 - 0.85 * m), 4) AS weighted
+    FROM ranked r JOIN known ON known.id = r.id LEFT JOIN seed ON seed.id = r.id WHERE tier = 0 OR place < 12""")
 def local_search(spark, d):
     hits = _seeds(spark).withColumn("rank", F.col("seed_rank") + 1).drop("seed_rank")
     return R.local_search(D.graph(spark, d), hits, D.one(spark, d))
@@ -324,21 +330,30 @@ def community_summary(spark, d):
     return C.summarize(g, g.nodes.select("id", F.col("domain").alias("community")), D.one(spark, d)).select("community", "size", "avg_mastery", "untouched", "band", "id")
 
 
-@query(D.with_views("nodes", "prereq", "one") + """, golden AS (SELECT ord AS qid, id FROM nodes WHERE ord % 50 = 4 UNION ALL SELECT ord - 1, id FROM nodes WHERE ord % 50 = 5),
-    ctx AS (SELECT 'naive' AS mode, ord - ord % 50 + 4 AS qid, id FROM nodes WHERE ord % 50 BETWEEN 4 AND 9 UNION ALL SELECT 'graph', ord, id FROM nodes WHERE ord % 50 = 4 UNION ALL SELECT 'graph', ord, source FROM prereq JOIN nodes ON target = id WHERE ord % 50 = 4),
+@query(D.with_views("nodes", "edges", "one") + f""", top AS MATERIALIZED (SELECT a.vec_id AS qid, CAST(b.vec_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SIM}, 12) DESC, b.vec_id) AS rank
+        FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND round({SIM}, 12) > 0 QUALIFY rank <= 6),
+    near AS (SELECT * FROM top WHERE id IN (SELECT id FROM nodes)), golden AS (SELECT DISTINCT qid, id FROM (SELECT vec_id AS qid, CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT vec_id, CAST(vec_id + 1 AS VARCHAR) FROM embeddings WHERE vec_id % 20 = 0)),
+    seed AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS seed_rank FROM near QUALIFY seed_rank < 3),
+    x AS (SELECT qid, source AS id, min(seed_rank) AS seed_rank FROM prereq JOIN seed ON target = seed.id GROUP BY 1, 2),
+    pre AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY seed_rank, coalesce(mastery, 0), difficulty, id) AS p FROM x JOIN nodes USING (id) LEFT JOIN one USING (id) WHERE (qid, id) NOT IN (SELECT qid, id FROM seed)),
+    b AS (SELECT source AS near, target AS id FROM edges UNION ALL SELECT target, source FROM edges),
+    y AS (SELECT qid, b.id, min(CAST(seed_rank AS VARCHAR)) AS seed_text FROM b JOIN seed ON near = seed.id GROUP BY 1, 2),
+    fill AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY coalesce(mastery, 0), seed_text, id) AS p FROM y JOIN nodes USING (id) LEFT JOIN one USING (id) WHERE (qid, id) NOT IN (SELECT qid, id FROM seed) AND (qid, id) NOT IN (SELECT qid, id FROM pre)),
+    every AS (SELECT qid, id, 0 AS tier, seed_rank AS p FROM seed UNION ALL SELECT qid, id, 1, p FROM pre UNION ALL SELECT qid, id, 2, p FROM fill),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, p, id) AS place FROM every),
+    ctx AS (SELECT 'naive' AS mode, qid, id FROM near UNION ALL SELECT 'graph', qid, id FROM ranked WHERE tier = 0 OR place <= 6),
     two AS (SELECT target AS id, source AS a FROM prereq UNION SELECT x.target, y.source FROM prereq x JOIN prereq y ON x.source = y.target),
     needs AS (SELECT DISTINCT qid, a AS id FROM golden JOIN two USING (id)), want AS (SELECT qid, count(*) AS want FROM needs GROUP BY 1),
     per AS (SELECT mode, c.qid, max(CASE WHEN g.id IS NOT NULL THEN 1 ELSE 0 END) AS hit, count(DISTINCT n.id) AS got, count(DISTINCT c.id) AS size, count(DISTINCT CASE WHEN coalesce(mastery, 0) >= 0.85 THEN c.id END) AS ok
         FROM ctx c LEFT JOIN golden g ON g.qid = c.qid AND g.id = c.id LEFT JOIN needs n ON n.qid = c.qid AND n.id = c.id LEFT JOIN one ON one.id = c.id GROUP BY 1, 2)
     SELECT mode, round(avg(hit), 3) AS golden_hit, round(avg(CASE WHEN want IS NULL THEN 1.0 ELSE got / want END), 3) AS coverage, round(avg(ok / size), 3) AS mastered_ratio, round(avg(size), 1) AS mean_size FROM per LEFT JOIN want USING (qid) GROUP BY 1""")
 def compare_metrics(spark, d):
-    n = D.nodes(spark, d)
-    golden = n.filter("ord % 50 = 4").select(F.col("ord").alias("qid"), "id").union(n.filter("ord % 50 = 5").select(F.col("ord") - 1, "id"))
-    pre = D.graph(spark, d).prerequisites
-    naive = n.filter("ord % 50 between 4 and 9").select(F.lit("naive").alias("mode"), (F.col("ord") - F.col("ord") % 50 + 4).alias("qid"), "id")
-    own = n.filter("ord % 50 = 4")
-    expanded = own.select(F.lit("graph").alias("mode"), F.col("ord").alias("qid"), "id").union(own.join(pre, F.col("id") == F.col("target")).select(F.lit("graph"), own.ord, "source"))
-    return R.compare(naive.union(expanded), golden, pre, D.one(spark, d))
+    """Both searches for every vector whose number is divisible by 20, over the vectors as the nodes' index."""
+    index = _index(spark, d)
+    queries = index.filter("ord % 20 = 0").select(F.col("ord").alias("qid"), F.col("vector").alias("qvec"))
+    golden = queries.select("qid", F.explode(F.array(F.col("qid").cast("string"), (F.col("qid") + 1).cast("string"))).alias("id"))
+    g, one = D.graph(spark, d), D.one(spark, d)
+    return R.compare(R.batch_contexts(g, index, queries, one), golden, g.prerequisites, one)
 
 
 LINE_ORD_SQL = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000"
@@ -413,11 +428,9 @@ def patch_diff(spark, d):
     return I.patch_diff(n, layer_overlay(spark, d), ["id"], ["name", "difficulty", "domain"]).select("id", "change", F.array_join("fields", ",").alias("fields"))
 
 
-@query("SELECT doc_id, item_id, CASE WHEN length(b.text) > 0 AND contains(d.text, b.text) THEN substr(b.text, 1, 240) ELSE '' END AS quote, contains(d.text, b.text) AS verified FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("SELECT DISTINCT doc_id, item_id, substr(b.text, 1, 240) AS quote FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)")
 def quote_verify(spark, d):
-    docs, items = D.table(spark, d, "documents"), D.table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    j = docs.join(items, F.col("doc_id") % 40 == F.col("item_id"))
-    return j.select("doc_id", "item_id", S.verified_quote(F.col("q"), F.col("text")).alias("quote"), F.contains("text", "q").alias("verified"))
+    return X.quotes_in(D.table(spark, d, "documents").select("doc_id", "text"), D.table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")))
 
 
 @query(D.with_views("edges") + "SELECT source, target, type, source || '__' || target || '__' || type AS link_id, CASE type WHEN 'prerequisite_of' THEN '#185FA5' WHEN 'related_to' THEN '#B4B2A9' ELSE '#D4537E' END AS color, CASE type WHEN 'prerequisite_of' THEN '' WHEN 'related_to' THEN '4,3' ELSE '3,3' END AS dash, CASE type WHEN 'prerequisite_of' THEN 1.8 WHEN 'related_to' THEN 1.0 ELSE 1.2 END AS width FROM edges")
@@ -479,6 +492,99 @@ def edge_upsert(spark, d):
     return I.upsert_edges(e, new).select(F.concat("source", "target", "type").alias("k"), "change", F.round("confidence", 4).alias("confidence"))
 
 
+@query(D.with_views("nodes") + "SELECT ord, id, name, domain FROM nodes WHERE id = '12'")
+def node_by_id(spark, d):
+    return G.node(D.graph(spark, d), "12").select("ord", "id", "name", "domain")
+
+
+@query(D.with_views("nodes") + "SELECT ord, id, name FROM nodes WHERE contains(lower(name), 'widget 1') OR contains(id, 'widget 1') ORDER BY ord LIMIT 1")
+def find_shown(spark, d):
+    return G.find_shown(D.graph(spark, d), " Widget 1").select("ord", "id", "name")
+
+
+@query(D.with_views("edges") + "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1 HAVING count(*) >= 5")
+def shown_labels(spark, d):
+    return G.shown_labels(D.graph(spark, d))
+
+
+@query(D.with_views("nodes") + "SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY name, id) - 1 AS place, id, name FROM nodes")
+def target_list(spark, d):
+    return G.target_list(D.graph(spark, d))
+
+
+@query(D.with_views("nodes", "edges", "one") + f""", {KNOWN} SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS edges, count(DISTINCT domain) AS domains,
+    (SELECT count(DISTINCT source) FROM prereq WHERE source NOT IN (SELECT target FROM prereq)) AS roots, count(*) FILTER (id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS isolated, round(avg(m), 6) AS mean_mastery FROM known""")
+def web_meta(spark, d):
+    return X2.web_meta(D.graph(spark, d), D.one(spark, d))
+
+
+@query(D.with_views("nodes", "one") + f""", {KNOWN}, b AS (SELECT {BAND_SQL} AS band, id, ord, m FROM known),
+    dim AS (SELECT * FROM (VALUES ('untouched'), ('weak'), ('learning'), ('solid'), ('mastered')) t(band)), i AS (SELECT band, count(*) AS n, string_agg(id, ',' ORDER BY ord) AS ids FROM b GROUP BY 1)
+    SELECT band, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, (SELECT count(*) FROM b) AS total, (SELECT count(*) FROM b WHERE m > 0) AS touched, (SELECT round(round(avg(m), 8), 3) FROM b WHERE m > 0) AS avg_mastery FROM dim LEFT JOIN i USING (band)""")
+def profile(spark, d):
+    return L.profile(D.nodes(spark, d), D.one(spark, d)).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(D.with_views("mastery") + "SELECT user_id, count(*) AS recorded, round(avg(mastery), 6) AS average FROM mastery GROUP BY 1")
+def recorded_average(spark, d):
+    item = F.struct(F.lit("quiz").alias("type"), F.lit("").alias("desc"), "weight", F.col("ts").cast("string").alias("ts"), "revoked", "seq")
+    states = D.log(spark, d).groupBy("user_id", "concept_id").agg(F.collect_list(item).alias("evidence")).withColumn("mastery", F.lit(0.0)).withColumn("last_touched", F.lit(None).cast("string"))
+    return L.recorded_average(states, D.AS_OF).withColumn("average", F.round("average", 6))
+
+
+@query(D.with_views("nodes", "edges") + """, wide AS (SELECT source, target, type FROM edges UNION ALL SELECT '-' || source, target, 'x' FROM edges WHERE type = 'related_to')
+    SELECT source, target, type FROM wide WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)""")
+def dangling_edges(spark, d):
+    e = D.edges(spark, d)
+    odd = e.filter("type = 'related_to'").withColumn("source", F.concat(F.lit("-"), "source")).withColumn("type", F.lit("x"))
+    return G.dangling(D.nodes(spark, d), e.unionByName(odd)).select("source", "target", "type")
+
+
+@query("WITH l AS (SELECT l_partkey % 500 AS k, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS ord, 'n' || l_linenumber AS name FROM lineitem) SELECT 'C' || k AS id, min(ord) AS ord, arg_max(name, ord) AS name FROM l GROUP BY 1")
+def build_graph(spark, d):
+    nodes = _line_nodes(spark, d)
+    return G.Graph.build(nodes, D.edges(spark, d).limit(0)).nodes.select("id", "ord", "name")
+
+
+@query(D.with_views("nodes", "prereq") + """, r AS (SELECT id, count(*) AS unlock_count FROM prereq JOIN nodes ON source = id WHERE source NOT IN (SELECT target FROM prereq) GROUP BY 1 ORDER BY 2 DESC, id LIMIT 12),
+    m AS (SELECT n.id, o.id AS named, row_number() OVER (PARTITION BY n.id ORDER BY o.ord) AS p FROM nodes n JOIN r USING (id) JOIN nodes o ON contains(n.descr, o.name) AND o.name <> n.name)
+    SELECT r.id, name, domain, unlock_count, coalesce((SELECT string_agg(named, ',' ORDER BY p) FROM m WHERE m.id = r.id AND p <= 5), '') AS mentioned FROM r JOIN nodes USING (id)""")
+def candidates(spark, d):
+    return SG.candidates(D.graph(spark, d)).select("id", "name", "domain", "unlock_count", F.array_join("mentioned_ids", ",").alias("mentioned"))
+
+
+@query(D.with_views("nodes") + """, s AS (SELECT trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS id, s_name AS name, '' AS domain, lower(s_name) || ' x' AS aliases, 'suppliers' AS refs FROM supplier)
+    SELECT id, name, domain, array_to_string(list_sort(list_distinct([alias, 'size ' || (difficulty - 1)])), ',') AS aliases, 'suppliers' AS refs FROM nodes UNION ALL SELECT * FROM s""")
+def merge_payload(spark, d):
+    """A payload that adds a node for every supplier and an alias to every known node."""
+    return _merged(spark, d)[0].select("id", "name", "domain", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.transform("evidence_refs", lambda r: r["document"]), ",").alias("refs"))
+
+
+@query(D.with_views("nodes", "edges") + """, s AS (SELECT trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS source, CAST(s_suppkey AS VARCHAR) AS target FROM supplier)
+    SELECT source, target, type, round(confidence, 4) AS confidence, 0 AS refs FROM edges UNION ALL SELECT source, target, 'part_of', 0.5, 1 FROM s WHERE target IN (SELECT id FROM nodes)""")
+def merge_payload_edges(spark, d):
+    return _merged(spark, d)[1].select("source", "target", "type", F.round("confidence", 4).alias("confidence"), F.size("evidence_refs").alias("refs"))
+
+
+def _merged(spark, d):
+    g = D.graph(spark, d)
+    known = g.nodes.select("ord", F.lit("").alias("id"), "name", "type", F.lit("").alias("domain"), F.lit("").alias("desc"), "difficulty", F.array(F.concat(F.lit("size "), (F.col("difficulty") - 1))).alias("aliases"))
+    s = D.table(spark, d, "supplier")
+    new = s.select((F.col("s_suppkey") + 10**9).alias("ord"), F.lit("").alias("id"), F.col("s_name").alias("name"), F.lit("Tool").alias("type"), F.lit("").alias("domain"), F.lit("").alias("desc"), F.lit(3).alias("difficulty"), F.array(F.concat(F.lower("s_name"), F.lit(" x"))).alias("aliases"))
+    edges = s.select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("source"), F.col("s_suppkey").cast("string").alias("target"), F.lit("part_of").alias("type"), F.lit(0.5).alias("confidence"), F.lit("").alias("note"))
+    return I.merge_payload(g.nodes, g.edges, known.unionByName(new), edges, "suppliers")
+
+
+@query(D.with_views("nodes", "edges") + "SELECT n.id, name, type, difficulty, alias AS aliases, (SELECT count(*) FROM edges) AS edges FROM nodes n")
+def sqlite_round_trip(spark, d):
+    """Written to a SQLite file on the driver, as that sink does, and read back."""
+    with tempfile.TemporaryDirectory() as folder:
+        X2.write_sqlite(D.graph(spark, d), f"{folder}/graph.db")
+        back = X2.read_sqlite(spark, f"{folder}/graph.db")
+        n = back.edges.count()
+        return back.nodes.select("id", "name", "type", "difficulty", F.array_join("aliases", ",").alias("aliases"), F.lit(n).cast("long").alias("edges"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend_next(spark, sf_dir)
 
