@@ -11,6 +11,7 @@ of every class of suffixes with a common prefix of LENGTH bytes all but the earl
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import string_chunks
 from .decontam import _powers
-from .induced import repeated
+from .induced import Scratch, pieces, repeated
 
 #: Bytes of a string that may not repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 100, 32
 STEP_BYTES = 1 << 20
-#: Bytes of runs that are suffix-sorted together; whole anchors stay together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of runs that are suffix-sorted together; whole anchors stay together, so one anchor may exceed
+#: them by far. Beyond SPOOL_BYTES a block's runs wait in a scratch file, and its sort is external.
+BLOCK_BYTES, SPOOL_BYTES = 4 << 20, 64 << 20
+#: Bytes of runs that a block remembers, to answer an equal run without sorting it.
+SEEN_BYTES = 64 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -127,39 +131,72 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Block:
-    """Runs of whole anchors: those equal to an earlier run are answered at once, the others are suffix-sorted."""
+    """Runs of whole anchors: those equal to an earlier run are answered at once, the others are suffix-sorted.
+
+    The runs' bytes wait in memory up to a bound, then in a scratch file; a run that is not among
+    the remembered ones is sorted, which gives the same answer.
+    """
 
     def __init__(self) -> None:
-        self.fresh: list[tuple[int, int, int, bytes]] = []
-        self.seen: set[bytes] = set()
-        self.size = 0
         self.out: list[tuple[int, int, int, int]] = []
+        self._empty()
+
+    def _empty(self) -> None:
+        self.raw, self.file, self.size, self.held = bytearray(), None, 0, 0
+        self.seen: set[bytes] = set()
+        self.meta = [array("q") for _ in range(4)]  # key, nth, first start, bytes
 
     def add(self, key: int, nth: int, first: int, raw: bytes) -> None:
         if raw in self.seen:
             self.out.append((key, nth, first, first + len(raw)))
-        else:
+            return
+        if self.held + len(raw) <= SEEN_BYTES:
             self.seen.add(raw)
-            self.fresh.append((key, nth, first, raw))
-            self.size += len(raw)
-
-    def sort(self) -> None:
-        data = np.frombuffer(b"".join(r[3] for r in self.fresh), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in self.fresh]))).astype(np.int64)
-        hit = np.flatnonzero(repeated(data, offsets, LENGTH))
-        if len(hit):
+            self.held += len(raw)
+        for column, value in zip(self.meta, (key, nth, first, len(raw)), strict=True):
+            column.append(value)
+        self.raw += raw
+        self.size += len(raw)
+        if len(self.raw) > SPOOL_BYTES:
+            self._spool()
+
+    def _spool(self) -> None:
+        if self.file is None:
+            self.file = Scratch().file()
+        self.file.write(self.raw)
+        self.raw = bytearray()
+
+    def sort(self) -> Iterator[pa.RecordBatch]:
+        """The byte ranges that repeat, in pieces; then the block is empty."""
+        if self.file is None:
+            data = np.frombuffer(bytes(self.raw), np.uint8)
+        else:
+            self._spool()
+            self.file.flush()
+            data = np.memmap(self.file, np.uint8, "r", shape=(self.size,))
+        key, nth, start, size = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in self.meta)
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        again = repeated(data, offsets, LENGTH)
+        for s in pieces(len(data)):
+            hit = np.flatnonzero(again[s]) + s.start
+            if not len(hit):
+                continue
             row = np.searchsorted(offsets, hit, "right") - 1
             cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(row) > 0))
             begin, end, row = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], row[np.append(0, cut + 1)]
-            for r, a, b, base in zip(row.tolist(), begin.tolist(), end.tolist(), offsets[row].tolist(), strict=True):
-                key, nth, first, _ = self.fresh[r]
-                self.out.append((key, nth, first + a - base, first + b - base + LENGTH))
-        self.fresh, self.seen, self.size = [], set(), 0
+            shift = start[row] - offsets[row]
+            yield _range_rows(key[row], nth[row], begin + shift, end + shift + LENGTH)
+        self._empty()
 
     def take(self) -> pa.RecordBatch:
         columns = [*zip(*self.out, strict=True)] or [(), (), (), ()]
         self.out = []
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["p_key", "p_nth", "start", "stop"])
+        return _range_rows(*columns)
+
+
+def _range_rows(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["p_key", "p_nth", "start", "stop"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +206,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(k).to_pylist() for k in range(5)]
         for anchor, key, nth, first, raw in zip(*columns, strict=True):
             if last is not None and anchor != last[0] and block.size >= BLOCK_BYTES:
-                block.sort()
+                yield from block.sort()
             if (anchor, key, nth, first) != last:  # a repeated row is the same document
                 block.add(key, nth, first, raw)
             last = anchor, key, nth, first
         yield block.take()
-    block.sort()
+    yield from block.sort()
     yield block.take()
 
 
