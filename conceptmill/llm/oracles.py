@@ -88,4 +88,20 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (
 """
 
 
-ORACLE_SQL = {"op1_secrets": _op1(), "op8_license": _op8(), "op10_decontamination": OP10}
+OP7 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, b[i:i + 99] AS s FROM d, unnest(generate_series(1, octet_length(b) - 99)) g(i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i - prior <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prior FROM rep)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS begin_ FROM spans
+    UNION ALL SELECT d.doc_id, octet_length(b) + 1, coalesce(max(z), 0) + 1 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY 1, 2),
+kept AS (SELECT doc_id, string_agg(hex(b[begin_:a - 1]), '' ORDER BY a) AS h FROM cuts JOIN d USING (doc_id) WHERE a > begin_ GROUP BY 1),
+lost AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(CAST(n_removed AS BIGINT), 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+ORACLE_SQL = {"op1_secrets": _op1(), "op8_license": _op8(), "op7_repeats": OP7, "op10_decontamination": OP10}
