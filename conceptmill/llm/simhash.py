@@ -5,8 +5,9 @@ two fingerprints at distance 3 or less, one segment differs in one bit at most,
 looks up, in each segment's table, the Hamming ball of radius 1 around its own segment, and the
 complete distance of what it meets is verified. ``near_components`` finds near-duplicate texts, which
 lie much further apart: wider fingerprints, balls over each segment's least certain bits, complete
-distances, and at last the exact similarity of the texts. Tables hold each distinct fingerprint or
-set of shingles once, so copies of a text cost nothing here.
+distances, and at last the exact similarity of the texts. What the fingerprints miss, an exact
+prefix-filtered join of the shingle sets adds. Tables hold each distinct fingerprint or set of
+shingles once, so copies of a text cost nothing here.
 """
 
 from __future__ import annotations
@@ -138,6 +139,13 @@ UNCERTAIN = 5
 #: Distance, of the 256 bits, up to which pairs are verified. Sets at similarity 0.8 differ in 39 on
 #: average, with a deviation of 6.
 WIDE_DISTANCE = 57
+#: A shingle that tasks count this often is common and comes late in the order of all shingles, which
+#: at most so many do. The order decides how much is compared, never what is found.
+COMMON_FROM, COMMON = 32, 1 << 18
+#: Shingles that a task counts at a time, and pairs of places that a task looks at in one step.
+COUNTED, STEP_PAIRS = 1 << 21, 1 << 22
+#: Words of 64 bits in the bitmap of the keys in pairs: most other texts stay where they are.
+BITMAP_WORDS = 1 << 18
 
 
 def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +157,12 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], owner[new]
 
 
+def _digests(hashes: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """Digest of each text's set."""
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).tolist()
+    return [hashlib.sha256(hashes[a:b].tobytes()).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _stretched(hashes: np.ndarray, k: int) -> np.ndarray:
     """Another 64 bits from each hash."""
     x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
@@ -162,8 +176,7 @@ def wide_batch(data: np.ndarray, offsets: np.ndarray, shingle: int = NEAR_SHINGL
     n = len(offsets) - 1
     hashes, owner = _distinct(*shingle_hashes(data, offsets, shingle))
     size = np.bincount(owner, minlength=n)
-    bounds = np.concatenate(([0], np.cumsum(size))).tolist()
-    digests = [hashlib.sha256(hashes[a:b].tobytes()).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    digests = _digests(hashes, owner, n)
     prints, masks = np.zeros((n, WIDE), np.uint64), np.zeros((n, 2 * WIDE, UNCERTAIN), np.uint8)
     for k in range(WIDE):
         counts = set_counts(_stretched(hashes, k + 1), owner, n)
@@ -253,15 +266,38 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, in batches that end where its value does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column(0).to_numpy()
+        start = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+        if start or held and held[-1].column(0)[0].as_py() != bucket[0]:
+            whole = [*held, batch.slice(0, start)] if start else held
+            held = []
+            yield pa.concat_batches(whole)
+        held.append(batch.slice(start))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _links(pairs: np.ndarray) -> pa.RecordBatch:
+    """Pairs of different keys once each, the smaller one first."""
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["low", "high"])
+
+
 def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(low, high): per bucket, the links of its forest; rows come sorted by bucket, then rep.
 
-    Neighbours share many buckets; a group met before in the task is not compared again.
+    Neighbours share many buckets; a group met before in the task is not compared again. A forest
+    leaves out links, and one of its own may fail the exact test; ``_prefix_rows`` finds the rest.
     """
     seen: set[bytes] = set()
-
-    def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.concat_batches(parts)
+    for rows in whole_buckets(batches):
         bucket, reps, prints = rows.column(0).to_numpy(), rows.column(1).to_numpy(), _fixed(rows.column(2), np.uint64).reshape(-1, WIDE)
         first = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
         size = np.diff(np.append(first, len(bucket)))
@@ -274,25 +310,101 @@ def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if name not in seen:
                 seen.add(name)
                 found.append(group[np.array(forest(prints[a : a + n], WIDE_DISTANCE), np.int64).reshape(-1, 2)])
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["low", "high"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket = batch.column(0).to_numpy()
-        start = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-        if start or held and held[-1].column(0)[0].as_py() != bucket[0]:
-            whole = [*held, batch.slice(0, start)] if start else held
-            held = []
-            yield linked(whole)
-        held.append(batch.slice(start))
+        yield _links(np.concatenate(found))
         if len(seen) > 1 << 20:
             seen.clear()
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n): shingles that are in two texts or more of those that a task counts at a time."""
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        shingle, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingle[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+
+    for batch in batches:
+        for _, data, offsets in string_chunks(batch, "text"):
+            held.append(_distinct(*shingle_hashes(data, offsets, NEAR_SHINGLE))[0])
+            if sum(map(len, held)) > COUNTED:
+                yield counted()
+                held = []
     if held:
-        yield linked(held)
+        yield counted()
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(common shingles, ascending; the rank of each, from 1 for the least common)."""
+    counts = texts.select("text").mapInArrow(_count_rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
+    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.arange(len(shingles), 0, -1)[order]
+
+
+def prefixes(hashes: np.ndarray, owner: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, sizes) of the first shingles of n texts' sets, text by text.
+
+    Shingles are ordered by rank, those that are not common first, then by hash. Two sets of sizes a
+    and b at the similarity share that share of either one, so the first shared shingle is not among
+    the last ones that would be too few, and both prefixes hold it.
+    """
+    shingles, ranks = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
+        rank = np.where(shingles[at] == hashes, ranks[at], 0)
+    order = np.lexsort((hashes, rank, owner))
+    hashes, owner = hashes[order], owner[order]
+    sizes = np.bincount(owner, minlength=n)
+    places = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    held = places <= (sizes - _least(sizes))[owner]
+    return hashes[held], places[held], sizes
+
+
+def _least(sizes: np.ndarray) -> np.ndarray:
+    """Shingles that a set of each size shares, at least, with one at the similarity."""
+    return np.ceil(NEAR_SIMILARITY * sizes - 1e-6).astype(np.int64)
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rep, the set's size above 32 bits of the place) of every shingle of every prefix."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 4096):
+            part = batch.slice(low, 4096)
+            n = np.array([len(x) // 8 for x in part.column(1).to_pylist()])
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(part.column(2).to_numpy(), n) << 32 | places
+            yield pa.RecordBatch.from_arrays([pa.array(_fixed(part.column(1), np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(at)], names=["bucket", "rep", "at"])
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low, high): per bucket, every pair of different roots that its sizes and places let reach the similarity.
+
+    In the bucket of a pair's first shared shingle, what the two can share is that one and the
+    shingles behind it, on the side with fewer; a pair within reach passes there, if not elsewhere.
+    """
+    for rows in whole_buckets(batches):
+        bucket, reps, at, roots = (rows.column(k).to_numpy() for k in range(4))
+        sizes, places = at >> 32, at & 0xFFFFFFFF
+        first = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
+        mixed = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+        ends = np.append(first[1:], len(bucket))
+        found, waiting = [], 0
+        for a, b in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
+            step = max(1, STEP_PAIRS // (b - a))
+            for low in range(a, b, step):
+                i, j = slice(low, min(low + step, b)), slice(low, b)
+                reach = np.minimum.outer(sizes[i] - places[i], sizes[j] - places[j])
+                near = (reach >= NEAR_SIMILARITY / (1 + NEAR_SIMILARITY) * np.add.outer(sizes[i], sizes[j]) - 1e-6) & np.not_equal.outer(roots[i], roots[j])
+                x, y = np.nonzero(near)
+                found.append(np.stack((reps[low + x], reps[low + y]), axis=1))
+                waiting += len(x)
+                if waiting > STEP_PAIRS:
+                    yield _links(np.concatenate(found))
+                    found, waiting = [], 0
+        if found:
+            yield _links(np.concatenate(found))
 
 
 def _set_of(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -315,6 +427,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _similar(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs (low, high) whose whole texts are similar."""
+    met = pairs.select(F.explode(F.array("low", "high")).alias("met")).distinct()
+    place = F.pmod(F.xxhash64(F.col("key").cast("long")), F.lit(64 * BITMAP_WORDS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = met.select(F.col("met").alias("key")).select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = named.withColumn("place", place).withColumn("bit", bit)
+    likely = placed.join(F.broadcast(bits), (F.shiftright("place", 6) == F.col("word")) & (F.col("bits").bitwiseAND(F.col("bit")) != 0), "left_semi").select("key", "text")
+    texts = likely.join(met.hint("merge"), F.col("key") == F.col("met"), "left_semi").distinct()
+    one, two = texts.select(F.col("key").alias("one_key"), F.col("text").alias("one")), texts.select(F.col("key").alias("two_key"), F.col("text").alias("two"))
+    both = pairs.join(one.hint("merge"), F.col("low") == F.col("one_key")).join(two.hint("merge"), F.col("high") == F.col("two_key"))
+    return both.select("low", "high", "one", "two").mapInArrow(_verified, "a long, b long")
+
+
+def _missed(named: DataFrame, classes: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """(low, high): every pair of classes of different components that may be similar, by an exact prefix filter."""
+    common = named.sparkSession.sparkContext.broadcast(common_shingles(named))
+
+    def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in string_chunks(batch, "text"):
+                n = len(offsets) - 1
+                hashes, owner = _distinct(*shingle_hashes(data, offsets, NEAR_SHINGLE))
+                digests = _digests(hashes, owner, n)
+                held, places, sizes = prefixes(hashes, owner, n, common.value)
+                bounds = np.append(np.flatnonzero(places == 0), len(places))
+                binaries = np.full(n, b"", object)
+                binaries[sizes > 0] = [held[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(binaries, pa.binary())], names=["key", "digest", "size", "prefix"])
+
+    firsts = named.mapInArrow(prefix_rows, "key long, digest binary, size long, prefix binary").filter("size > 0")
+    homes = classes.select("rep", F.col("digest").alias("own"))
+    entries = firsts.join(homes.hint("merge"), [F.col("key") == F.col("rep"), F.col("digest") == F.col("own")]).select("rep", "prefix", "size").mapInArrow(_bucket_rows, "bucket long, rep long, at long")
+    crowded = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(shared_rows, "bucket long, rep long, at long")
+    compared = crowded.distinct().join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("bucket", "rep", "at", F.coalesce("root", "rep").alias("root"))
+    return compared.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_prefix_rows, "low long, high long").distinct()
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for every row of docs: near-duplicates by five-word shingles at similarity 0.8.
 
@@ -322,12 +472,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     256 bits in eight segments; each segment enters its table under a small Hamming ball around it,
     every combination of its five least certain bits. What shares a table entry is compared by the
     complete distance, inside the entry, which emits a spanning forest instead of all pairs; every
-    link of a forest is verified by the exact similarity of the whole texts. Links join classes to
-    components, named by the smallest key reachable. A pair at exactly 0.8 is met with a probability
-    of about 0.9, one at 0.9 practically always. Keys are longs. Rows that repeat a key are one
+    link of a forest is verified by the exact similarity of the whole texts, and links join classes.
+    Pairs that this leaves apart are searched exactly: classes of different components that share a
+    shingle of their prefixes, and whose sizes and places let them reach the similarity, are verified
+    like the others, every pair. So the components are those of all pairs at the similarity. They are
+    named by the smallest key reachable. Keys are longs. Rows that repeat a key are one
     document; a null key stays alone; null texts count as empty, and texts without words are copies
     of each other; an empty table gives an empty table; other columns are not read. An entry's
-    distinct texts stand in one task with 48 bytes each.
+    distinct texts stand in one task with 48 bytes each, and so do those that share a shingle.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = rows.filter("key is not null")
@@ -339,12 +491,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = classes.select(F.col("rep").alias("own"), "print")
     compared = crowded.join(own.hint("merge"), F.col("rep") == F.col("own")).select("bucket", "rep", "print")
     pairs = checkpointed(compared.repartition(parts, "bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_forest_rows, "low long, high long").distinct())
-    met = pairs.select(F.explode(F.array("low", "high")).alias("met")).distinct()
-    texts = named.join(met.hint("merge"), F.col("key") == F.col("met"), "left_semi").distinct()
-    one, two = texts.select(F.col("key").alias("one_key"), F.col("text").alias("one")), texts.select(F.col("key").alias("two_key"), F.col("text").alias("two"))
-    both = pairs.join(one.hint("merge"), F.col("low") == F.col("one_key")).join(two.hint("merge"), F.col("high") == F.col("two_key"))
-    edges = both.select("low", "high", "one", "two").mapInArrow(_verified, "a long, b long")
-    roots = connected_components(edges)
+    edges = checkpointed(_similar(pairs, named))
+    missed = checkpointed(_missed(named, classes, connected_components(edges), parts))
+    roots = connected_components(edges.unionByName(_similar(missed, named)))
     homes = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("home"), F.coalesce("root", "rep").alias("component_id"))
     found = prints.join(homes.hint("merge"), F.col("digest") == F.col("home")).select(F.col("key").alias(key), "component_id")
     return found.unionByName(rows.filter("key is null").select(F.col("key").cast("long").alias(key), F.lit(None).cast("long").alias("component_id")))

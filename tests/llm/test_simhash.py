@@ -180,3 +180,32 @@ def test_near_awkward_rows(spark):
     big = " ".join(f"w{i}" for i in range(300_000))
     far = spark.createDataFrame([(1, big), (2, big + " end"), (3, "short " * 5)], "doc_id long, text string")
     assert sorted(rows(simhash.near_components(far))) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_pairs_at_the_threshold_are_all_found(spark):
+    rng = random.Random(12)
+    line = " ".join(f"c{i}" for i in range(24))
+    docs, k = [], 0
+    for i in range(250):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        other = [*words[:24], "new", *words[25:]]  # 40 shingles of 50: exactly 0.8
+        below = [*words[:16], "one", *words[17:32], "two", *words[33:]]
+        for text in (words, other, below if i % 2 else words[::-1]):
+            docs.append((k := k + 1, " ".join(text) + (" " + line) * (i % 5 == 0)))
+    want, pairs = near_brute(docs)
+    assert len(pairs) >= 250 and len(set(want.values())) > 400
+    assert {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 4, 5, 9, 10, 15, 40, 45):
+        for _ in range(30):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * size + 2, dtype=np.uint64))
+            a, b = pool[:size], np.append(pool[size // 9 : size], pool[size : size + rng.integers(0, size // 9 + 1)])
+            picked = np.sort(rng.choice(pool, len(pool) // 3, replace=False))
+            common = picked, rng.permutation(len(picked)) + 1
+            first = [set(simhash.prefixes(x, np.zeros(len(x), np.int64), 1, common)[0].tolist()) for x in (a, b)]
+            assert simhash.similarity(a, b) < 0.8 or first[0] & first[1]
