@@ -27,8 +27,8 @@ SYMBOLS = 1 << BITS
 STEP_BYTES = 1 << 20
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD_NGRAMS = 1 << 21
-#: Distinct training texts, about, whose cross-entropies calibrate temperature and rejection.
-CALIBRATION_ROWS = 2000
+#: Temperatures among which the calibration chooses.
+TEMPERATURES = [0.5 * 2**k for k in range(9)]
 #: A text is rejected this many standard deviations beyond its language's mean cross-entropy.
 REJECT_AT = 6.0
 UNDETERMINED = "und"
@@ -169,33 +169,39 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def _calibrate(model: Model, docs: DataFrame) -> None:
-    # A share of the hash range instead of an ordered limit: no text moves, and copies count once.
-    share = min(1.0, CALIBRATION_ROWS / max(docs.count(), 1))
-    sample = docs.withColumn("h", F.xxhash64("text", "lang")).filter(F.col("h") <= min(int(share * 2**64) - 2**63, 2**63 - 1))
+    """Temperature and limits from every training text with a letter; copies in one language count once.
+
+    Texts are told apart by two 64-bit hashes. A row sends its own cross-entropy and its loss at each
+    temperature; the driver gets a row per language.
+    """
+    hashed = docs.select("text", "lang", F.xxhash64("text").alias("g"), F.xxhash64(F.lit(1), "text").alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    losses = [f"loss{k}" for k in range(len(TEMPERATURES))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        places = {name: k for k, name in enumerate(m.languages)}
         for batch in batches:
             for part, data, offsets in string_chunks(batch, "text", STEP_BYTES):
-                bits, n = shared.value.cross_entropies(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(list(bits), pa.list_(pa.float64())), pa.array(n)], names=["h", "lang", "bits", "n"])
-
-    once = sample.mapInArrow(score, "h long, lang string, bits array<double>, n long").groupBy("h").agg(F.min(F.struct("lang", "n", "bits")).alias("r")).select("h", "r.*")
-    rows = sorted((r for r in once.collect() if r["n"] >= 20), key=lambda r: r["h"])
-    if not rows:
-        return
-    bits = np.array([r["bits"] for r in rows])
-    own = np.array([model.languages.index(r["lang"]) for r in rows])
-    for k in range(len(model.languages)):
-        mine = bits[own == k, k]
-        if len(mine) > 1:
-            model.limits[k] = mine.mean() + REJECT_AT * max(mine.std(), 0.02)
-
-    def loss(t: float) -> float:
-        z = -t * (bits - bits.min(axis=1, keepdims=True))
-        return float(-(z[np.arange(len(own)), own] - np.log(np.exp(z).sum(axis=1))).mean())
-
-    model.temperature = min((0.5 * 2**k for k in range(9)), key=loss)
+                bits, n = m.cross_entropies(data, offsets)
+                full = np.flatnonzero(n)
+                bits, part = bits[full], part.take(pa.array(full))
+                own = np.array([places[name] for name in part.column(1).to_pylist()], np.int64)
+                mine = bits[np.arange(len(own)), own]
+                above = bits - bits.min(axis=1, keepdims=True)
+                loss = [t * above[np.arange(len(own)), own] + np.log(np.exp(-t * above).sum(axis=1)) for t in TEMPERATURES]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(own), pa.array(mine), *map(pa.array, loss)], names=["g", "h", "own", "bits", *losses])
+
+    scored = hashed.mapInArrow(score, "g long, h long, own long, bits double, " + ", ".join(f"{c} double" for c in losses))
+    once = scored.groupBy("g", "h", "own").agg(*[F.min(c).alias(c) for c in ("bits", *losses)])
+    rows = once.groupBy("own").agg(F.count("*").alias("n"), F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("std"), *[F.sum(c).alias(c) for c in losses]).collect()
+    for r in rows:
+        if r["n"] > 1:
+            # Rounded, as the order of a sum is not fixed.
+            model.limits[r["own"]] = round(r["mean"] + REJECT_AT * max(r["std"], 0.02), 9)
+    if rows:
+        total = [round(sum(r[c] for r in rows) / sum(r["n"] for r in rows), 9) for c in losses]
+        model.temperature = TEMPERATURES[int(np.argmin(total))]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -126,6 +126,20 @@ def test_language_model_sums_to_one_and_awkward_rows(spark):
     assert langid.predict(df.withColumn("score", F.lit("x")), model).schema["score"].dataType.simpleString() == "double"
 
 
+def test_language_is_calibrated_by_every_text(spark):
+    rng = random.Random(3)
+    letters = {"aa": "abcdefgh", "bb": "stuvwxyz"}
+    texts = [(" ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(1, 8))), x) for _ in range(1500) for x in letters]
+    df = spark.createDataFrame(texts + texts[:300] + [("", "aa"), (None, "bb")], "text string, lang string")
+    model = langid.train(df)
+    own = {}
+    for text, lang in set(texts):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        own.setdefault(lang, []).append(model.cross_entropies(raw, np.array([0, len(raw)]))[0][0, model.languages.index(lang)])
+    want = [np.mean(own[x]) + langid.REJECT_AT * max(np.std(own[x]), 0.02) for x in model.languages]
+    assert np.allclose(model.limits, want, rtol=0, atol=1e-6)
+
+
 def test_matrix_scan_and_marginals():
     rng = np.random.default_rng(3)
     m = rng.random((777, 4)) + 0.01
