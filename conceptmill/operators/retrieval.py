@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conceptmill.functions import scalar as S
 
 from . import vectors as V
-from .graph import Graph, ancestors, cut
+from .graph import Graph, ancestors, around, cut
 from .embedders import HashEmbedder
 from .learner import with_mastery
 from .text import parse_object
@@ -43,8 +43,7 @@ def prereq_expansion(g: Graph, seed: DataFrame, one: DataFrame, depth: int = PRE
 
 def fill_expansion(g: Graph, seed: DataFrame, taken: DataFrame, one: DataFrame, limit: int | None = None) -> DataFrame:
     """Neighbours of the seeds by any edge, without what is taken: weakest first, then seed as text, then id."""
-    both = g.edges.select(F.col("source").alias("near"), F.col("target").alias("id"), "type").union(g.edges.select("target", "source", "type"))
-    near = both.join(seed.select(F.col("id").alias("near"), "seed_rank"), "near")
+    near = around(g, seed).join(seed.select(F.col("id").alias("near"), "seed_rank"), "near")
     confusable = F.max(F.when(F.col("type") == "confusable_with", 1).otherwise(0)).alias("confusable")
     found = near.groupBy("id").agg(F.min(F.col("seed_rank").cast("string")).alias("seed_text"), confusable)
     free = found.join(taken.select("id"), "id", "left_anti")
