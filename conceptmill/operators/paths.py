@@ -5,13 +5,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from conceptmill.functions import scalar as S
 
-from .graph import Graph, ancestors, cycles
+from . import closure
+from .graph import Graph, ancestors, cut, cycles
 from .learner import with_mastery
 
 
@@ -62,24 +63,33 @@ def _teach(scope: list) -> list[str]:
     return order
 
 
-def _orders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"target": f["target"], "ids": [_teach(scope) for scope in f["scope"]]})
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A scope at a time becomes Python objects; a batch of them would be gigabytes."""
+    for batch in batches:
+        ids = pa.array((_teach(batch.column(1)[k].as_py()) for k in range(batch.num_rows)), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["target", "ids"])
 
 
 def learning_paths(g: Graph, one: DataFrame, targets: DataFrame, include_known: bool = True) -> DataFrame:
     """(target, id, place, depth, mastery, status): each target's prerequisites in teaching order, itself last.
 
     Depth is the least number of hops to the target. Scopes are single prerequisite closures, so
-    a group per target fits a task; targets are spread over the cluster.
+    a group per target fits a task; targets are spread over the cluster. Up to closure.HELD_EDGES
+    edges a task searches and orders its targets by itself, in blocks of bounded size.
     """
     goals = targets.select("id").distinct()
+    pairs = cut(g.prerequisites.select(F.col("target").alias("child"), F.col("source").alias("parent")).dropna().distinct())
+    if pairs.count() <= closure.HELD_EDGES:
+        graph, codes = closure.held(pairs, goals)
+        level = g.nodes.select("id", "difficulty")
+        path = closure.orders(graph, codes, goals, level, one.select(F.col("concept_id").alias("id"), "mastery"), None if include_known else S.MASTERED_FROM)
+        return path.withColumn("status", S.status(F.col("mastery")))
     scope = ancestors(g.prerequisites, goals).select(F.col("id").alias("target"), F.col("ancestor").alias("id"), F.col("hop").alias("depth"))
     scope = scope.filter("id != target").unionByName(goals.select(F.col("id").alias("target"), "id", F.lit(0).alias("depth")))
     needs = g.prerequisites.groupBy(F.col("target").alias("id")).agg(F.collect_set("source").alias("needs"))
     rows = scope.join(needs, "id", "left").join(g.nodes.select("id", "difficulty"), "id")
     scopes = rows.groupBy("target").agg(F.collect_list(F.struct("id", "depth", "difficulty", "needs")).alias("scope"))
-    steps = scopes.mapInPandas(_orders, "target string, ids array<string>").select("target", F.posexplode("ids").alias("step", "id"))
+    steps = scopes.mapInArrow(_orders, "target string, ids array<string>").select("target", F.posexplode("ids").alias("step", "id"))
     full = with_mastery(steps.join(scope, ["target", "id"]), one).withColumn("status", S.status(F.col("mastery")))
     if not include_known:
         full = full.filter((F.col("status") != "known") | (F.col("id") == F.col("target")))
