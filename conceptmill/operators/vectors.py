@@ -99,7 +99,7 @@ def topk(index: DataFrame, query: Column, k: int, vector: str = "vector", ident:
 #: Queries that are scored together: so many vectors are broadcast at once, in passes until all are done.
 QUERY_BLOCK = 4096
 #: Similarities that a task holds at once, and blocks that one plan unites.
-HELD_CELLS, PLAN_BLOCKS = 1 << 22, 16
+HELD_CELLS, PLAN_BLOCKS = 1 << 20, 16
 
 
 def _best(k: int, parts: list[tuple]) -> tuple:
@@ -111,6 +111,14 @@ def _best(k: int, parts: list[tuple]) -> tuple:
     return tuple(x[rank < k] for x in (query, sim, place, ident))
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Rows of equal length as doubles; without gaps they are read where they lie, not as Python objects."""
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count or not len(lists) or len(np.unique(np.diff(lists.offsets.to_numpy()))) > 1:
+        return np.array(lists.to_pylist(), float)
+    return flat.to_numpy().astype(float, copy=False).reshape(len(lists), -1)
+
+
 def _block_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Per task, the best k entries of each query of one block; similarities are rounded to 12 decimals, so that ties are ties."""
     rows = queries.select("qid", "qvec").collect()
@@ -126,8 +134,9 @@ def _block_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             step = max(1, HELD_CELLS // max(1, len(q)))
             for low in range(0, batch.num_rows if len(q) else 0, step):
                 part = batch.slice(low, step)
-                v = np.array(part.column(2).to_pylist(), float)
-                sims = np.round(v @ q.T, 12)
+                v = _matrix(part.column(2))
+                sims = v @ q.T
+                np.round(sims, 12, out=sims)
                 least = np.maximum(np.partition(sims, -min(k, len(v)), axis=0)[-min(k, len(v))], np.nextafter(0, 1))
                 row, query = np.nonzero(sims >= least)
                 place = part.column(1).to_numpy(zero_copy_only=False)
