@@ -145,7 +145,7 @@ def batch_contexts(g: Graph, index: DataFrame, queries: DataFrame, one: DataFram
     up = with_mastery(up.join(mine, ["qid", "id"], "left_anti").join(g.nodes.select("id", "difficulty"), "id"), one)
     order = Window.partitionBy("qid")
     first = up.withColumn("inner", F.row_number().over(order.orderBy("seed_rank", "mastery", "difficulty", "id"))).select("qid", "id", F.lit(1).alias("tier"), "inner")
-    both = g.edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(g.edges.select("target", "source"))
+    both = around(g, seed).select(F.col("near").alias("id"), F.col("id").alias("other"))
     fill = both.join(seed, "id").groupBy("qid", F.col("other").alias("id")).agg(F.min(F.col("seed_rank").cast("string")).alias("seed_text"))
     fill = with_mastery(fill.join(mine, ["qid", "id"], "left_anti").join(first.select("qid", "id"), ["qid", "id"], "left_anti").join(g.nodes.select("id"), "id"), one)
     rest = fill.withColumn("inner", F.row_number().over(order.orderBy("mastery", "seed_text", "id"))).select("qid", "id", F.lit(2).alias("tier"), "inner")
